@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mnemolake.llm.cooccurrence import associated_tags
+from mnemolake.llm.leakage import leaked_runs, paraphrases
 from mnemolake.llm.mojibake import repair_encoding
 from mnemolake.llm.near_dup import near_duplicate_pairs
+from mnemolake.llm.packing import pack_documents
 from mnemolake.sources.tables import table
 
 
@@ -13,6 +17,34 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, root, "records"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return associated_tags(table(spark, root, "records")).select("tag_a", "tag_b")
+
+
+def p3_scores(spark: SparkSession, root: str) -> DataFrame:
+    scores = associated_tags(table(spark, root, "records"))
+    return scores.select("tag_a", "tag_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    return pack_documents(table(spark, root, "documents"))
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the sequences are, all together."""
+    placed = pack_documents(table(spark, root, "documents")).where("seq_id is not null")
+    each = placed.groupBy("seq_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("segments"), F.sum("loss").alias("loss"))
+    return each.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * 2048)).alias("fill"), F.max("n").alias("most_tokens"), F.max("segments").alias("most_segments"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaked_runs(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_paraphrases(spark: SparkSession, root: str) -> DataFrame:
+    return paraphrases(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return repair_encoding(table(spark, root, "documents")).select("doc_id")
 
@@ -22,15 +54,30 @@ def p9_restored(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_scores, p7_packed, p7_fill, p8_found, p8_paraphrases, p9_found, p9_restored)}
 
 
 def tokens_sql(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}_]+'), lambda x: strlen(x) > 1 OR regexp_full_match(x, '\p{{N}}+'))"
 
 
+_P3 = """
+WITH b AS (SELECT row_number() OVER () AS rid, list_distinct(list_filter(list_transform(coalesce(tags, []), lambda x: lower(trim(x, ' \t\r\n'))), lambda x: len(x) > 0)) AS t FROM records),
+e AS (SELECT rid, unnest(t) AS tag FROM b), s AS (SELECT tag, count(*) AS n FROM e GROUP BY ALL), m AS (SELECT count(*) AS total FROM b WHERE len(t) > 0),
+p AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS n_ab FROM e x JOIN e y ON x.rid = y.rid AND x.tag < y.tag GROUP BY ALL HAVING count(*) >= 10),
+f AS (SELECT tag_a, tag_b, n_ab, u.n AS n_a, v.n AS n_b, CAST(n_ab AS DOUBLE) * total / (CAST(u.n AS DOUBLE) * v.n) AS lift FROM p JOIN s u ON u.tag = tag_a JOIN s v ON v.tag = tag_b, m)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _P3 + "SELECT tag_a, tag_b FROM f WHERE lift >= 4",
+        "p3_scores": _P3 + "SELECT tag_a, tag_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(log2(lift), 6) AS pmi, round(n_ab / (n_a + n_b - n_ab), 6) AS jaccard FROM f WHERE lift >= 4",
+        "p8_found": rf"""
+WITH d AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {tokens_sql("item_text")} AS t FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 8)) AS k FROM d WHERE len(t) >= 10)),
+ig AS (SELECT item_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 8)) AS k FROM i WHERE len(t) >= 10))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
         "p1_found": rf"""
 WITH b AS (SELECT id, list_distinct({tokens_sql("coalesce(body, '')")}) AS bt, list_distinct({tokens_sql("array_to_string(list_concat([coalesce(body, '')], coalesce(tags, [])), ' ')")}) AS t FROM records),
 s AS (SELECT translate(upper(id), 'OIL', '011') AS id, t, len(t) AS n FROM b WHERE len(bt) >= 8),
