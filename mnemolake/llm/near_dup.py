@@ -32,6 +32,8 @@ SEGMENTS, WIDTH = 10, 7
 SKETCH = 64
 SKETCH_AGREE = 38
 """Two-bit sketch positions, of 64, that must agree: 3.5 standard deviations below the mean at similarity 0.7."""
+ID_BITS, ID_AGREE = 32, 20
+"""One-bit positions in an identity, and how many must agree: 3.8 standard deviations below the mean at similarity 0.7."""
 BLOCK = 4096
 """Members of one variant that a task compares at once; larger groups are cut into blocks of pairs."""
 
@@ -68,19 +70,37 @@ def token_sets(bodies: list, tags: list, least_body: int) -> tuple[list[int], np
     return keep, np.array(flat, np.uint64), np.array(lengths, np.int64)
 
 
-def set_ids(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit identity of each token set, independent of order."""
+def set_ids(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Identity of each token set: 24 bits of hash, 32 one-bit MinHash positions, 8 bits of size.
+
+    So a task that sees nothing but identities can already tell most unlike sets apart. Two different sets
+    are taken for one only if hash, sketch and size all agree, which needs sets alike to begin with.
+    """
     with np.errstate(over="ignore"):
         total = np.add.reduceat(_mix(flat ^ np.uint64(0x9E3779B97F4A7C15)), starts)
-        return _mix(total ^ (lengths.astype(np.uint64) * _M2)).astype(np.int64)
+        whole = _mix(total ^ (lengths.astype(np.uint64) * _M2))
+    bits = (sig & np.uint32(1)).astype(np.uint64)
+    short = (bits << np.arange(ID_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return ((whole << np.uint64(40)) | (short << np.uint64(8)) | np.minimum(lengths, 255).astype(np.uint64)).astype(np.int64)
+
+
+def may_match(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sizes and short sketches of two identities allow the similarity."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    x, y = (a & np.uint64(255)).astype(np.float64), (b & np.uint64(255)).astype(np.float64)
+    sized = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) | (x == 255) | (y == 255)
+    differ = np.bitwise_count(((a ^ b) >> np.uint64(8)) & np.uint64(0xFFFFFFFF))
+    return sized & (differ <= ID_BITS - ID_AGREE)
 
 
-def signatures(flat: np.ndarray, starts: np.ndarray, positions: int) -> np.ndarray:
-    out = np.empty((len(starts), positions), np.uint32)
-    for j in range(positions):
-        seed = _mix(np.array([j + 1], np.uint64))[0]
-        out[:, j] = np.minimum.reduceat((_mix(flat ^ seed) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+def signatures(flat: np.ndarray, starts: np.ndarray, positions: int, seed: int = 0) -> np.ndarray:
+    """MinHash positions, two from each 64-bit hash of the tokens."""
+    out = np.empty((len(starts), positions + positions % 2), np.uint32)
+    for j in range(0, positions, 2):
+        mixed = _mix(flat ^ _mix(np.array([(seed << 20) + j + 1], np.uint64))[0])
+        out[:, j] = np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), starts)
+        out[:, j + 1] = np.minimum.reduceat(mixed.astype(np.uint32), starts)
+    return out[:, :positions]
 
 
 def variants(sig: np.ndarray, segments: int, width: int) -> np.ndarray:
@@ -94,7 +114,7 @@ def variants(sig: np.ndarray, segments: int, width: int) -> np.ndarray:
             whole = cells.sum(axis=1, dtype=np.uint64)
             for p in range(width):
                 keys[:, s * width + p] = _mix(whole - cells[:, p] + np.uint64(s * width + p))
-    return keys.astype(np.int64)
+    return (keys >> np.uint64(16)).astype(np.int64)  # 48 bits: fewer bytes to shuffle, and still under one chance meeting a record at 1e11 records
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
@@ -116,9 +136,10 @@ def _sets_op(batches: Iterator[pa.RecordBatch], least_body: int, positions: int)
         if not keep:
             continue
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        sk = sketch(signatures(flat, starts, positions))
+        sig = signatures(flat, starts, positions + ID_BITS, seed=1)  # apart from those the join uses
+        sk = sketch(sig)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array(keep, pa.int32())), pa.array(set_ids(flat, starts, lengths)), pa.array(lengths.astype(np.int32)), pa.array(sk[:, 0]), pa.array(sk[:, 1]), _list_array(flat, lengths)],
+            [b.column("id").take(pa.array(keep, pa.int32())), pa.array(set_ids(flat, starts, lengths, sig[:, positions:])), pa.array(lengths.astype(np.int32)), pa.array(sk[:, 0]), pa.array(sk[:, 1]), _list_array(flat, lengths)],
             names=["id", "set_id", "size", "low", "high", "tokens"],
         )
 
@@ -147,7 +168,7 @@ def _pairs_within(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray
         d += 1
 
 
-def _match_op(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+def _match_op(batches: Iterator[pa.RecordBatch], block: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each variant; members of groups over ``block`` come out as (key, member) rows instead."""
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not held:
@@ -165,6 +186,8 @@ def _match_op(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Reco
     several = np.repeat((counts > 1) & (counts <= block), counts)
     names = ["a", "b", "key"]
     for a, b in _pairs_within(key[several], ids[several]):
+        likely = may_match(a, b, threshold)
+        a, b = a[likely], b[likely]
         for at in range(0, len(a), 100_000):
             x, y = a[at : at + 100_000], b[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=names)
@@ -175,7 +198,7 @@ def _match_op(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Reco
 def near_duplicate_sets(sets: DataFrame, scratch: Scratch, threshold: float, segments: int, width: int, block: int) -> DataFrame:
     """Pairs (a, b, similarity) of different token sets, a < b, with at least ``threshold`` in common."""
     keyed = sets.select("set_id", "tokens").mapInArrow(lambda it: _variants_op(it, segments, width), "key bigint, set_id bigint")
-    matched = scratch.write(keyed.repartition("key").mapInArrow(lambda it: _match_op(it, block), "a bigint, b bigint, key bigint"), "matched")
+    matched = scratch.write(keyed.repartition("key").mapInArrow(lambda it: _match_op(it, block, threshold), "a bigint, b bigint, key bigint"), "matched")
     pairs = matched.where(F.col("key").isNull()).select("a", "b")
     # Groups too large for one task: members are dealt to chunks and every pair of chunks is a key of its own.
     members = matched.where(F.col("key").isNotNull()).select("key", F.col("a").alias("set_id"))
