@@ -12,7 +12,9 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,25 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL_ROOTS[app]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="mnemolake-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/mnemolake.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    spark.sparkContext.addPyFile(archive)
+
+
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
@@ -73,6 +94,7 @@ class Scratch:
     """Tables one operator call writes and reads again."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
+        ship_package(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 

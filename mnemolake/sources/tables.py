@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from mnemolake.session import ship_package
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A domain table of the folder ``root``."""
+    ship_package(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
