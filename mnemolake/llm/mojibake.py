@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.session import ship_package
+
 ROUNDS = 8
 """Layers of damage, and charsets within them, that are undone in one stretch."""
 
@@ -223,6 +225,7 @@ def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Defined cases: null and empty texts are undamaged; complete is false where U+FFFD remains; repeated
     rows are each reported; other columns are ignored; an empty table gives an empty result.
     """
+    ship_package(documents.sparkSession)
     schema = f"{id_col} {dict(documents.dtypes)[id_col]}, restored string, complete boolean"
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
