@@ -10,7 +10,6 @@ Only tokens the items use have a coordinate, since any other adds nothing to a p
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,64 +157,96 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, passes: int =
     return last @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
 
 
-def longest_common_run(a: np.ndarray, b: np.ndarray) -> int:
-    same = (a[:, None] == b[None, :]) & (a[:, None] >= 0)
-    best, run = 0, np.zeros(len(b) + 1, np.int64)
-    for row in same:
-        run[1:] = np.where(row, run[:-1] + 1, 0)
-        best = max(best, int(run.max()))
+def padded(flat: np.ndarray, lengths: np.ndarray, width: int, blank: int) -> np.ndarray:
+    """Passages as rows of one matrix; unknown and missing tokens are ``blank``, which matches nothing."""
+    out = np.full((len(lengths), width), blank, np.int32)
+    at = np.arange(width)[None, :] < lengths[:, None]
+    out[at] = np.where(flat < 0, blank, flat)
+    return out
+
+
+def common_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Longest common run of each pair of rows: one vector step for each column of ``a``."""
+    run = np.zeros((len(a), b.shape[1] + 1), np.int16)
+    best = np.zeros(len(a), np.int16)
+    for i in range(a.shape[1]):
+        run[:, 1:] = np.where(b == a[:, i, None], run[:, :-1] + 1, 0)
+        np.maximum(best, run.max(axis=1), out=best)
     return best
 
 
-def longest_common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Bit-parallel: one integer operation for each token of ``a``."""
-    places: dict[int, int] = defaultdict(int)
-    for j, c in enumerate(b.tolist()):
-        if c >= 0:
-            places[c] |= 1 << j
-    full = (1 << len(b)) - 1
-    row = full
-    for c in a.tolist():
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of rows."""
+    row = np.zeros((len(a), b.shape[1] + 1), np.int16)
+    for i in range(a.shape[1]):
+        step = np.where(b == a[:, i, None], row[:, :-1] + 1, row[:, 1:])
+        row[:, 1:] = np.maximum.accumulate(step, axis=1)
+    return row[:, -1]
+
 
+def run_hashes(rows: np.ndarray, run: int) -> np.ndarray:
+    """Hash of every ``run`` consecutive tokens of each row; windows with a blank get a hash of their own."""
+    wide = rows.astype(np.uint64)
+    out = np.zeros((len(rows), max(1, rows.shape[1] - run + 1)), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(out.shape[1]):
+            for j in range(run):
+                if k + j < rows.shape[1]:
+                    out[:, k] = (out[:, k] ^ wide[:, k + j]) * np.uint64(0x9E3779B97F4A7C15)
+                    out[:, k] ^= out[:, k] >> np.uint64(29)
+    return out
 
-def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarray, index: np.ndarray, owner: np.ndarray, least_cosine: float, item_parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarray, index: np.ndarray, owner: np.ndarray, least_cosine: float, item_parts: list[np.ndarray], window: int, least_run: int, least_lcs: float) -> Iterator[pa.RecordBatch]:
+    """Cosine candidates of all passages of a batch, then the checks, over all candidate pairs at once."""
     names = ["doc_id", "item_id", "pos", "cosine", "run", "lcs", "span", "answer"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
     answers = [set(a.tolist()) for a in items.answers]
+    ids = np.array(items.ids, np.int64)
+    spans = np.array([len(p) for p in item_parts])
+    theirs = padded(np.concatenate(item_parts), spans, window, -2)
+    their_hashes = run_hashes(theirs, least_run) if least_run else None
     for b in batches:
         lists = b.column(2)
         lengths = lists.value_lengths().to_numpy()
         if not len(lengths):
             continue
         flat = lists.flatten().to_numpy()
-        ends = np.cumsum(lengths)
         doc, pos = b.column(0).to_numpy(), b.column(1).to_numpy()
+        mine = padded(flat, lengths, window, -1)
+        my_hashes = run_hashes(mine, least_run) if least_run else None
         z = _weighted_sums(flat, lengths, table)
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        rows: list[tuple] = []
-        for at in range(0, len(z), 2048):
-            cosine = z[at : at + 2048] @ index.T
-            i, j = np.nonzero(cosine >= least_cosine)
-            for p, q, c in zip((i + at).tolist(), j.tolist(), cosine[i, j].tolist()):
-                codes = flat[ends[p] - lengths[p] : ends[p]]
-                k = int(owner[q])
-                run = longest_common_run(codes, item_parts[q])
-                lcs = longest_common_subsequence(codes, item_parts[q])
-                rows.append((int(doc[p]), items.ids[k], int(pos[p]), c, run, lcs, len(item_parts[q]), bool(answers[k]) and answers[k] <= set(codes.tolist())))
-        if rows:
-            cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        for at in range(0, len(z), 1024):
+            cosine = z[at : at + 1024] @ index.T
+            i, q = np.nonzero(cosine >= least_cosine)
+            p = i + at
+            near = cosine[i, q]
+            if least_run:
+                shared = np.zeros(len(p), bool)
+                for k in range(my_hashes.shape[1]):
+                    shared |= (my_hashes[p, k, None] == their_hashes[q]).any(axis=1)
+                p, q, near = p[shared], q[shared], near[shared]
+            if not len(p):
+                continue
+            run = common_runs(mine[p], theirs[q])
+            lcs = common_subsequences(mine[p], theirs[q])
+            ok = (run >= least_run) & (lcs >= least_lcs * spans[q])
+            p, q, near, run, lcs = p[ok], q[ok], near[ok], run[ok], lcs[ok]
+            if not len(p):
+                continue
+            told = [bool(answers[k]) and answers[k] <= set(mine[x].tolist()) for x, k in zip(p.tolist(), owner[q].tolist())]
+            cols = (doc[p], ids[owner[q]], pos[p], near.astype(np.float64), run.astype(np.int32), lcs.astype(np.int32), spans[q].astype(np.int32), np.array(told, bool))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
-def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(), rank: int = RANK, least_cosine: float = 0.45, item_block: int = ITEM_BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(), rank: int = RANK, least_cosine: float = 0.45, least_run: int = 0, least_lcs: float = 0.0, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Passage pairs close in latent space, with what the checks measured.
 
     Result: doc_id, item_id, pos (token at which the document passage begins), cosine, run and lcs
     (longest common run and subsequence, in tokens), span (tokens of the item passage), answer (all tokens
-    of the item's answer stand in the passage). One row for each pair of passages.
+    of the item's answer stand in the passage). One row for each pair of passages that have a common run of
+    ``least_run`` tokens and a common subsequence of ``least_lcs`` of the item passage.
 
     Document frequencies, passages and the factorisation cover all documents; no sample, no cap on
     candidates. Every task streams its documents; nothing is shuffled but the small sums.
@@ -249,18 +280,18 @@ def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(
         index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-12)
         owner = np.array([i for i, _ in parts])
         item_parts = [p for _, p in parts]
-        found = qualifying.mapInArrow(lambda it, a=(block, table, index, owner, least_cosine, item_parts): _search_op(it, *a), schema)
+        found = qualifying.mapInArrow(lambda it, a=(block, table, index, owner, least_cosine, item_parts, passages.window, least_run, least_lcs): _search_op(it, *a), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def leaked_runs(documents: DataFrame, items: DataFrame, run: int = 10) -> DataFrame:
     """(doc_id, item_id): a run of ``run`` consecutive tokens of the item stands in the document."""
-    found = leaks(documents, items, Passages(run + 2, 3, run, run))
-    return found.where(F.col("run") >= run).select("doc_id", "item_id").distinct()
+    found = leaks(documents, items, Passages(run + 2, 3, run, run), least_run=run)
+    return found.select("doc_id", "item_id").distinct()
 
 
 def paraphrases(documents: DataFrame, items: DataFrame, window: int = 24, share: float = 0.7, least_cosine: float = 0.75) -> DataFrame:
     """(doc_id, item_id, lcs_share, answer): passages that follow an item's passage without copying it."""
-    found = leaks(documents, items, Passages(window, window // 2, 0, window // 2), least_cosine=least_cosine)
-    return found.where(F.col("lcs") >= share * F.col("span")).groupBy("doc_id", "item_id").agg(F.max(F.col("lcs") / F.col("span")).alias("lcs_share"), F.max("answer").alias("answer"))
+    found = leaks(documents, items, Passages(window, window // 2, 0, window // 2), least_cosine=least_cosine, least_lcs=share)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.col("lcs") / F.col("span")).alias("lcs_share"), F.max("answer").alias("answer"))
