@@ -240,7 +240,7 @@ def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
-def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(), rank: int = RANK, least_cosine: float = 0.45, least_run: int = 0, least_lcs: float = 0.0, item_block: int = ITEM_BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(), rank: int = RANK, least_cosine: float = 0.6, least_run: int = 0, least_lcs: float = 0.0, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Passage pairs close in latent space, with what the checks measured.
 
     Result: doc_id, item_id, pos (token at which the document passage begins), cosine, run and lcs

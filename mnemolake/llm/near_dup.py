@@ -32,8 +32,8 @@ SEGMENTS, WIDTH = 10, 7
 SKETCH = 64
 SKETCH_AGREE = 38
 """Two-bit sketch positions, of 64, that must agree: 3.5 standard deviations below the mean at similarity 0.7."""
-ID_BITS, ID_AGREE = 32, 20
-"""One-bit positions in an identity, and how many must agree: 3.8 standard deviations below the mean at similarity 0.7."""
+ID_BITS, ID_AGREE = 32, 21
+"""One-bit positions in an identity, and how many must agree: 3.3 standard deviations below the mean at similarity 0.7."""
 BLOCK = 4096
 """Members of one variant that a task compares at once; larger groups are cut into blocks of pairs."""
 
@@ -207,7 +207,8 @@ def near_duplicate_sets(sets: DataFrame, scratch: Scratch, threshold: float, seg
     sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_id")
     left, right = sides.where(F.col("chunk") == F.col("i")), sides.where(F.col("chunk") == F.col("j"))
     blocked = left.select("key", "i", "j", F.col("set_id").alias("a")).join(right.select("key", "i", "j", F.col("set_id").alias("b")), ["key", "i", "j"]).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = (pairs.unionByName(blocked) if members.take(1) else pairs).distinct()
+    # partitioned by one side only, which serves both the removal of repeats and the join that follows
+    candidates = (pairs.unionByName(blocked) if members.take(1) else pairs).repartition("a").distinct()
 
     sketches = sets.select("set_id", "size", "low", "high").dropDuplicates(["set_id"])
     side = lambda c: sketches.select(F.col("set_id").alias(c), F.col("size").alias(f"{c}_size"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
