@@ -28,7 +28,9 @@ def current_entries(changes: DataFrame, base: DataFrame | None = None, batches:
     spark = changes.sparkSession
     scratch = Scratch(spark, "changefeed")
     wall = F.coalesce(F.col("hlc.wall"), F.lit(-1))
-    cuts = sorted(set(changes.where(F.col("hlc.wall").isNotNull()).select(F.col("hlc.wall").cast("double").alias("w")).approxQuantile("w", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
+    shares = [k / batches for k in range(1, batches)] or [0.5]
+    marks = changes.agg(F.percentile_approx("hlc.wall", shares, F.lit(1000)).alias("marks")).first().marks  # one row, one value a batch
+    cuts = sorted(set(marks or []), reverse=True) if batches > 1 else []
     named = canonical_all("supersedes")
     resolved: DataFrame | None = None
     for k, (low, high) in enumerate(zip([*cuts, None], [None, *cuts])):
