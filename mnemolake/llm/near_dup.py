@@ -196,7 +196,10 @@ def _match_op(batches: Iterator[pa.RecordBatch], block: int, threshold: float) -
 
 
 def near_duplicate_sets(sets: DataFrame, scratch: Scratch, threshold: float, segments: int, width: int, block: int) -> DataFrame:
-    """Pairs (a, b, similarity) of different token sets, a < b, with at least ``threshold`` in common."""
+    """Pairs (a, b, similarity) of different token sets, a < b, with at least ``threshold`` in common.
+
+    ``sets`` has each set once and is bucketed by set_id, so sketches and tokens are joined where they lie.
+    """
     keyed = sets.select("set_id", "tokens").mapInArrow(lambda it: _variants_op(it, segments, width), "key bigint, set_id bigint")
     matched = scratch.write(keyed.repartition("key").mapInArrow(lambda it: _match_op(it, block, threshold), "a bigint, b bigint, key bigint"), "matched")
     pairs = matched.where(F.col("key").isNull()).select("a", "b")
@@ -210,8 +213,7 @@ def near_duplicate_sets(sets: DataFrame, scratch: Scratch, threshold: float, seg
     # partitioned by one side only, which serves both the removal of repeats and the join that follows
     candidates = (pairs.unionByName(blocked) if members.take(1) else pairs).repartition("a").distinct()
 
-    sketches = sets.select("set_id", "size", "low", "high").dropDuplicates(["set_id"])
-    side = lambda c: sketches.select(F.col("set_id").alias(c), F.col("size").alias(f"{c}_size"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("size").alias(f"{c}_size"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
     differ = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")).bitwiseOR(F.col("a_high").bitwiseXOR(F.col("b_high"))))
     close = (
         candidates.join(side("a"), "a")
@@ -221,10 +223,8 @@ def near_duplicate_sets(sets: DataFrame, scratch: Scratch, threshold: float, seg
     )
     close = scratch.write(close, "close")
     scratch.drop("matched")
-    wanted = close.select(F.col("a").alias("set_id")).union(close.select("b")).distinct()
-    tokens = sets.select("set_id", "tokens").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
-    tokens = scratch.write(tokens, "tokens")
-    both = close.join(tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    tokens = lambda c: sets.select(F.col("set_id").alias(c), F.col("tokens").alias(f"t{c}"))
+    both = close.join(tokens("a"), "a").join(tokens("b"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     similarity = shared / (F.size("ta") + F.size("tb") - shared)
     return scratch.write(both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), "similar")
@@ -245,8 +245,10 @@ def near_duplicates(records: DataFrame, threshold: float = 0.7, least_body: int
     schema = "id string, set_id bigint, size int, low bigint, high bigint, tokens array<bigint>"
     rows = records.where(F.col("id").isNotNull()).select(canonical("id").alias("id"), "body", "tags")
     sets = scratch.write(rows.mapInArrow(lambda it: _sets_op(it, least_body, SKETCH), schema), "sets")
-    links = near_duplicate_sets(sets, scratch, threshold, segments, width, block)
-    return sets.select("id", "set_id"), links
+    members = scratch.write(sets.select("id", "set_id"), "members")
+    unique = scratch.write_bucketed(sets.select("set_id", "size", "low", "high", "tokens").dropDuplicates(["set_id"]), "unique", "set_id")
+    scratch.drop("sets")
+    return members, near_duplicate_sets(unique, scratch, threshold, segments, width, block)
 
 
 def near_duplicate_pairs(records: DataFrame, threshold: float = 0.7, **parameters: int) -> DataFrame:
