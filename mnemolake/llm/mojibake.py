@@ -130,6 +130,13 @@ def _fix_run(run: str) -> str:
     return run
 
 
+def _fix_match(m: re.Match[str]) -> str:
+    better = _fix_run(m[0])
+    before = m.string[max(0, m.start() - 2) : m.start()]
+    # a small letter at the end of a word in capitals is a capital and a closing mark after all
+    return m[0] if len(m[0]) == 2 and better.islower() and before.isalpha() and before.isupper() else better
+
+
 @cache
 def _remap(read_as: str, written_in: str) -> dict[int, str]:
     """Character read to character meant."""
@@ -206,7 +213,7 @@ def restore(text: str | None) -> str | None:
     """The text with every decodable span restored; null stays null, U+FFFD stays where it stands."""
     if text is None or _PLAIN.match(text):
         return text
-    text = _RUN.sub(lambda m: _fix_run(m[0]), text)
+    text = _RUN.sub(_fix_match, text)
     if _ODD.search(text):
         text = "\n".join(_unmix_line(x) if _ODD.search(x) else x for x in text.split("\n"))
     return text
