@@ -156,10 +156,17 @@ def _variants_op(batches: Iterator[pa.RecordBatch], segments: int, width: int) -
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "set_id"])
 
 
-def _pairs_within(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of equal key, from arrays sorted by key: neighbours at distance 1, then 2, and so on."""
+def _pairs_within(key: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of equal key, from arrays sorted by key: neighbours at distance 1, then 2, and so on.
+
+    ``counts`` is the size of each row's group; groups that are done leave, so a few large ones do not
+    keep all the others in the loop.
+    """
     d = 1
-    while d < len(key):
+    while True:
+        more = counts > d
+        if more.sum() < 0.7 * len(more):
+            key, ids, counts = key[more], ids[more], counts[more]
         at = np.flatnonzero(key[d:] == key[:-d])
         if not len(at):
             return
@@ -182,10 +189,10 @@ def _match_op(batches: Iterator[pa.RecordBatch], block: int, threshold: float) -
     key, ids = key[fresh], ids[fresh]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(np.concatenate([starts, [len(key)]]))
-    large = np.repeat(counts > block, counts)
-    several = np.repeat((counts > 1) & (counts <= block), counts)
+    sizes = np.repeat(counts, counts)
+    large, several = sizes > block, (sizes > 1) & (sizes <= block)
     names = ["a", "b", "key"]
-    for a, b in _pairs_within(key[several], ids[several]):
+    for a, b in _pairs_within(key[several], ids[several], sizes[several]):
         likely = may_match(a, b, threshold)
         a, b = a[likely], b[likely]
         for at in range(0, len(a), 100_000):
