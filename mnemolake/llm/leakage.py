@@ -25,6 +25,8 @@ from mnemolake.session import Scratch
 RANK = 64
 ITEM_BLOCK = 20_000
 """Items that one pass holds; more are taken in blocks, each a pass over the corpus."""
+MASK_CELLS = 32_000_000
+"""Cells of the place masks that a task holds; beyond, subsequences are counted cell by cell."""
 FAN_IN = 64
 """Groups in which the sums of all tasks are added up before they reach the driver."""
 
@@ -184,6 +186,30 @@ def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def place_masks(rows: np.ndarray, terms: int) -> np.ndarray | None:
+    """For each row and term, the bits of the places where it stands; None where the table would be large."""
+    if rows.shape[1] > 62 or len(rows) * (terms + 1) > MASK_CELLS:
+        return None
+    out = np.zeros((len(rows), terms + 1), np.uint64)
+    for j in range(rows.shape[1]):
+        at = np.flatnonzero(rows[:, j] >= 0)
+        out[at, rows[at, j]] |= np.uint64(1 << j)
+    return out
+
+
+def masked_subsequences(a: np.ndarray, q: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
+    """``common_subsequences`` by bit-parallel steps: one addition for each column of ``a``, over all pairs.
+
+    Unknown tokens (negative) index the last, empty column of ``masks``.
+    """
+    full = np.uint64((1 << width) - 1)
+    row = np.full(len(a), full)
+    for i in range(a.shape[1]):
+        hit = row & masks[q, a[:, i]]
+        row = ((row + hit) | (row - hit)) & full
+    return width - np.bitwise_count(row).astype(np.int32)
+
+
 def run_hashes(rows: np.ndarray, run: int) -> np.ndarray:
     """Hash of every ``run`` consecutive tokens of each row; windows with a blank get a hash of their own."""
     wide = rows.astype(np.uint64)
@@ -205,6 +231,7 @@ def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarra
     ids = np.array(items.ids, np.int64)
     spans = np.array([len(p) for p in item_parts])
     theirs = padded(np.concatenate(item_parts), spans, window, -2)
+    masks = place_masks(theirs, len(items.vocabulary))
     their_hashes = run_hashes(theirs, least_run) if least_run else None
     for b in batches:
         lists = b.column(2)
@@ -229,9 +256,11 @@ def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarra
                 p, q, near = p[shared], q[shared], near[shared]
             if not len(p):
                 continue
+            lcs = masked_subsequences(mine[p], q, masks, window) if masks is not None else common_subsequences(mine[p], theirs[q])
+            ok = lcs >= least_lcs * spans[q]
+            p, q, near, lcs = p[ok], q[ok], near[ok], lcs[ok]
             run = common_runs(mine[p], theirs[q])
-            lcs = common_subsequences(mine[p], theirs[q])
-            ok = (run >= least_run) & (lcs >= least_lcs * spans[q])
+            ok = run >= least_run
             p, q, near, run, lcs = p[ok], q[ok], near[ok], run[ok], lcs[ok]
             if not len(p):
                 continue

@@ -189,6 +189,8 @@ def test_checks_equal_dynamic_programming():
                 r[i + 1, j + 1] = r[i, j] + 1 if x[i] == y[j] else 0
                 t[i + 1, j + 1] = t[i, j] + 1 if x[i] == y[j] else max(t[i, j + 1], t[i + 1, j])
         assert (run, lcs) == (r.max(), t[9, 7])
+    pairs = np.arange(40)
+    assert (leakage.masked_subsequences(a, pairs, leakage.place_masks(b, 5), 7) == leakage.common_subsequences(a, b)).all()
 
 
 # --- wrong encodings
