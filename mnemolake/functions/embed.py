@@ -24,17 +24,12 @@ def embeddable(body: Column, tags: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(body, F.lit("")), tags)
 
 
-def features(words: Column) -> Column:
-    """Array of (pos, feature): unigram i at 2i, the bigram it begins at 2i+1, words joined by NUL.
-
-    ``words`` must be a column, not an expression: a lambda evaluates what it captures for every element.
-    """
-    singles = F.transform(words, lambda x, i: F.struct((i * 2).alias("pos"), x.alias("feature")))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1),
-        lambda i: F.struct((i * 2 - 1).alias("pos"), F.concat(F.element_at(words, i), F.lit("\0"), F.element_at(words, i + 1)).alias("feature")),
-    )
-    return F.when(F.size(words) > 1, F.concat(singles, pairs)).otherwise(singles)
+def features(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, pos, feature): unigram i at 2i, the bigram it begins at 2i+1, its words joined by NUL."""
+    steps = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    words = documents.select(id_col, tokens(text).alias("words")).select(id_col, F.posexplode(steps).alias("i", "s"))
+    both = F.array(F.struct((F.col("i") * 2).alias("pos"), F.col("s.x").alias("feature")), F.struct((F.col("i") * 2 + 1).alias("pos"), F.concat("s.x", F.lit("\0"), "s.y").alias("feature")))
+    return words.select(id_col, F.explode(both).alias("f")).select(id_col, "f.pos", "f.feature").where(F.col("feature").isNotNull())
 
 
 def fnv1a(items: list[bytes]) -> np.ndarray:
@@ -73,7 +68,7 @@ def buckets(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
 
     Each distinct feature is hashed once and joined back.
     """
-    long = documents.select(id_col, tokens(text).alias("words")).repartition(id_col).select(id_col, F.explode(features(F.col("words"))).alias("f")).select(id_col, "f.pos", "f.feature")
+    long = features(documents, id_col, text)
     hashed = long.select("feature").distinct().withColumn("h", bucket(F.col("feature"))).select("feature", "h.bucket", "h.sign")
     return long.join(hashed, "feature").groupBy(id_col, "bucket").agg(F.count("*").alias("n"), F.max_by("sign", "pos").alias("sign"))
 

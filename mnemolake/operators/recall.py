@@ -40,7 +40,7 @@ def recall(records: DataFrame, query: str, spaces: list[str] | None = None, limi
         index, records = index.where(F.col("space").isin(*spaces)), records.where(F.col("space").isin(*spaces))
     found = top_k_by_space(index, "vec", vec, fetch(limit)).select("space", "id", F.col("dot").alias("score")).where(F.col("score") >= min_score)
     meta = canonical_records(records)
-    hits = F.broadcast(found).join(meta, ["space", "id"])  # at most fetch(limit) rows a space
+    hits = found.join(meta, ["space", "id"])  # at most fetch(limit) rows a space; AQE broadcasts them where that is little
     if kinds:
         hits = hits.where(F.col("kind").isin(*kinds))
     if tags:

@@ -46,8 +46,8 @@ class RecordStore:
         """Write what is new, and return those rows."""
         fresh = new_rows(self.read(), batch) if self.exists() else new_rows(batch.limit(0), batch)
         fresh = fresh.persist()
-        # sorted by author and id, so that range scans skip row groups
-        fresh.repartition("space").sortWithinPartitions("space", "author_node", "id").write.mode("append").partitionBy("space").parquet(self.path)
+        # rebalanced by space, so a hot space is split over tasks; sorted, so that range scans skip row groups
+        fresh.hint("rebalance", "space").sortWithinPartitions("space", "author_node", "id").write.mode("append").partitionBy("space").parquet(self.path)
         return fresh
 
     def accept(self, batch: DataFrame) -> DataFrame:
