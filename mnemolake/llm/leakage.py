@@ -25,6 +25,8 @@ from mnemolake.session import Scratch
 RANK = 64
 ITEM_BLOCK = 20_000
 """Items that one pass holds; more are taken in blocks, each a pass over the corpus."""
+FOLLOW_BLOCK = 2_000
+"""The same for paraphrases, whose pass holds one cell for each item segment and token."""
 MASK_CELLS = 32_000_000
 """Cells of the place masks that a task holds; beyond, subsequences are counted cell by cell."""
 FAN_IN = 64
@@ -37,13 +39,15 @@ class Passages:
 
     A passage qualifies with ``least_run`` known tokens in a row and ``least_known`` in all, known being
     those that occur in the items. With ``window - stride + 1 >= least_run`` every common run of
-    ``least_run`` tokens lies whole in one qualifying passage on both sides.
+    ``least_run`` tokens lies whole in one qualifying passage on both sides. A passage keeps ``reach`` more
+    tokens behind its window: with ``stride - 1`` of them every window of the text lies whole in one passage.
     """
 
     window: int = 12
     stride: int = 3
     least_run: int = 10
     least_known: int = 10
+    reach: int = 0
 
     def cut(self, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
         n = len(codes)
@@ -51,7 +55,7 @@ class Passages:
             return []
         known = codes >= 0
         starts = np.arange(0, max(1, n - self.window + self.stride), self.stride)
-        ends = np.minimum(starts + self.window, n)
+        ends = np.minimum(starts + self.window + self.reach, n)
         total = np.concatenate([[0], np.cumsum(known)])
         ok = total[ends] - total[starts] >= self.least_known
         if self.least_run > 1 and ok.any():
@@ -269,6 +273,23 @@ def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
+def _blocks(items: DataFrame, item_block: int) -> Iterator[Items]:
+    held = items.where(F.col("item_id").isNotNull()).select("item_id", "item_text", "answer")
+    blocks = max(1, -(-held.count() // item_block))
+    for k in range(blocks):
+        yield Items.of(held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect())
+
+
+def _passages(documents: DataFrame, block: Items, passages: Passages, scratch: Scratch, name: str) -> tuple[DataFrame, np.ndarray]:
+    """The qualifying passages of all documents, and the inverse document frequencies of the items' tokens."""
+    cut = scratch.write(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lambda it, v=block.vocabulary: _cut_op(it, v, passages), "doc_id bigint, pos int, codes array<int>, counts array<bigint>"), name)
+    seen = cut.where(F.col("counts").isNotNull()).select(F.posexplode("counts").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(block.vocabulary) + 1)
+    for r in seen:
+        counts[r.term] = r.n
+    return cut.where(F.col("counts").isNull()).select("doc_id", "pos", "codes"), np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
+
+
 def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(), rank: int = RANK, least_cosine: float = 0.6, least_run: int = 0, least_lcs: float = 0.0, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Passage pairs close in latent space, with what the checks measured.
 
@@ -287,21 +308,12 @@ def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(
     spark = documents.sparkSession
     scratch = Scratch(spark, "leaks")
     schema = "doc_id bigint, item_id bigint, pos int, cosine double, run int, lcs int, span int, answer boolean"
-    held = items.where(F.col("item_id").isNotNull()).select("item_id", "item_text", "answer")
-    blocks = max(1, -(-held.count() // item_block))
     out: DataFrame | None = None
-    for k in range(blocks):
-        block = Items.of(held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect())
-        cut = scratch.write(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lambda it, v=block.vocabulary: _cut_op(it, v, passages), "doc_id bigint, pos int, codes array<int>, counts array<bigint>"), f"passages{k}")
-        seen = cut.where(F.col("counts").isNotNull()).select(F.posexplode("counts").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(block.vocabulary) + 1)
-        for r in seen:
-            counts[r.term] = r.n
-        idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
+    for k, block in enumerate(_blocks(items, item_block)):
         parts = [(i, p) for i, codes in enumerate(block.codes) for _, p in passages.cut(codes)]
-        qualifying = cut.where(F.col("counts").isNull()).select("doc_id", "pos", "codes")
         if not parts:
             continue
+        qualifying, idf = _passages(documents, block, passages, scratch, f"passages{k}")
         basis = latent_basis(qualifying, idf, rank)
         table = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
         lengths = np.array([len(p) for _, p in parts])
@@ -320,7 +332,151 @@ def leaked_runs(documents: DataFrame, items: DataFrame, run: int = 10) -> DataFr
     return found.select("doc_id", "item_id").distinct()
 
 
-def paraphrases(documents: DataFrame, items: DataFrame, window: int = 24, share: float = 0.7, least_cosine: float = 0.75) -> DataFrame:
-    """(doc_id, item_id, lcs_share, answer): passages that follow an item's passage without copying it."""
-    found = leaks(documents, items, Passages(window, window // 2, 0, window // 2), least_cosine=least_cosine, least_lcs=share)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.col("lcs") / F.col("span")).alias("lcs_share"), F.max("answer").alias("answer"))
+@dataclass
+class Segments:
+    """The items' windows, in segments that share their tokens.
+
+    Every window of ``window`` tokens of an item begins at one of the first ``offsets`` tokens of one
+    segment; a shorter item, and the rest of an item behind its last whole stride, is a segment with one
+    window as long as itself. ``need`` is the common subsequence that a window must reach.
+    """
+
+    owner: np.ndarray
+    codes: list[np.ndarray]
+    offsets: np.ndarray
+    span: np.ndarray
+    need: np.ndarray
+
+    @classmethod
+    def of(cls, items: Items, window: int, stride: int, share: float) -> Segments:
+        rows: list[tuple[int, np.ndarray, int, int]] = []
+        for i, codes in enumerate(items.codes):
+            n = len(codes)
+            for at in range(0, max(0, n - window + 1), stride):
+                part = codes[at : at + window + stride - 1]
+                rows.append((i, part, len(part) - window + 1, window))
+            rest = codes[max(0, -(-(n - window) // stride)) * stride :] if n > window else codes
+            if 0 < len(rest) < window and (n <= window or len(rest) > window - stride):
+                rows.append((i, rest, 1, len(rest)))
+        ints = lambda k: np.array([r[k] for r in rows], np.int64)
+        return cls(ints(0), [r[1] for r in rows], ints(2), ints(3), np.maximum(1, np.ceil(share * ints(3) - 1e-9)).astype(np.int64))
+
+
+def window_subsequences(a: np.ndarray, q: np.ndarray, offset: np.ndarray, theirs: np.ndarray, masks: np.ndarray | None, window: int) -> np.ndarray:
+    """Longest common subsequence of each row of ``a`` and the window at ``offset`` of segment ``q``."""
+    if masks is None:
+        wide = np.pad(theirs, ((0, 0), (0, window)), constant_values=-2)
+        return common_subsequences(a, wide[q[:, None], offset[:, None] + np.arange(window)])
+    full, shift = np.uint64((1 << window) - 1), offset.astype(np.uint64)
+    row = np.full(len(a), full)
+    for i in range(a.shape[1]):
+        hit = row & (masks[q, a[:, i]] >> shift)
+        row = ((row + hit) | (row - hit)) & full
+    return window - np.bitwise_count(row).astype(np.int32)
+
+
+def _close(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Unit vectors of windows in latent space."""
+    z = np.zeros((len(rows), table.shape[1]), np.float32)
+    for j in range(rows.shape[1]):
+        z += table[rows[:, j]]
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+
+
+def _follow_op(batches: Iterator[pa.RecordBatch], items: Items, segments: Segments, table: np.ndarray, least_cosine: float, window: int, stride: int) -> Iterator[pa.RecordBatch]:
+    """All windows of the passages against all windows of the items.
+
+    A window that shares fewer tokens with a segment, or a shorter common subsequence, than the segment's
+    windows need cannot follow one of them, so both tests before the last leave out nothing.
+    """
+    terms, width = len(items.vocabulary), window + stride - 1
+    answers = [set(a.tolist()) for a in items.answers]
+    ids = np.array(items.ids, np.int64)
+    lengths = np.array([len(c) for c in segments.codes])
+    theirs = padded(np.concatenate(segments.codes), lengths, width, -2)
+    masks = place_masks(theirs, terms)
+    holds = np.zeros((terms + 1, len(lengths)), np.uint8)
+    holds[np.concatenate(segments.codes), np.repeat(np.arange(len(lengths)), lengths)] = 1
+    wide = np.pad(np.where(theirs < 0, terms, theirs), ((0, 0), (0, window)), constant_values=terms)
+    index = [_close(wide[:, u : u + window], table) for u in range(segments.offsets.max())]
+    # whole windows meet all segments, shorter ones those whose only window is as short
+    kinds = [(window, np.arange(len(lengths)))] + [(int(w), np.flatnonzero(segments.span == w)) for w in np.unique(segments.span) if w < window]
+    need = segments.need.astype(np.uint8)
+
+    def found(mine: np.ndarray, size: np.ndarray, w: int, columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        held = holds[:, columns] if len(columns) < holds.shape[1] else holds
+        count = np.zeros((len(mine), len(columns)), np.uint8)
+        for j in range(w):
+            count += held[mine[:, j]]
+        last = np.maximum(1, size - (window - stride if w == window else w - 1))
+        for j in range(width - w + 1):
+            row, c = np.nonzero((count >= need[columns]) & (j < last)[:, None])
+            if len(row):
+                yield row, np.full(len(row), j), columns[c]
+            if j + w < width:
+                count += held[mine[:, j + w]]
+                count -= held[mine[:, j]]
+
+    for b in batches:
+        lists = b.column(2)
+        if not len(lists):
+            continue
+        doc, size = b.column(0).to_numpy(), lists.value_lengths().to_numpy()
+        all_mine = padded(lists.flatten().to_numpy(), size, width, terms)
+        for at in range(0, len(size), 1024):
+            mine = all_mine[at : at + 1024]
+            held: dict[tuple[int, int], list] = {}
+            for w, columns in kinds:
+                for row, j, q in found(mine, size[at : at + 1024], w, columns):
+                    a = mine[row[:, None], j[:, None] + np.arange(w)]
+                    a_codes = np.where(a == terms, -1, a)
+                    ok = (masked_subsequences(a_codes, q, masks, width) if masks is not None else common_subsequences(a_codes, theirs[q])) >= segments.need[q]
+                    a_codes, a, row, q = a_codes[ok], a[ok], row[ok], q[ok]
+                    if not len(row):
+                        continue
+                    pair = np.repeat(np.arange(len(row)), segments.offsets[q])
+                    u = np.arange(len(pair)) - np.repeat(np.cumsum(segments.offsets[q]) - segments.offsets[q], segments.offsets[q])
+                    lcs = window_subsequences(a_codes[pair], q[pair], u, theirs, masks, window)
+                    ok = lcs >= segments.need[q[pair]]
+                    pair, u, lcs = pair[ok], u[ok], lcs[ok]
+                    z = _close(a, table)
+                    cosine = np.zeros(len(pair))
+                    for k in np.unique(u):
+                        cosine[u == k] = (z[pair[u == k]] * index[k][q[pair[u == k]]]).sum(axis=1)
+                    ok = cosine >= least_cosine
+                    pair, share = pair[ok], lcs[ok] / segments.span[q[pair[ok]]]
+                    best = np.zeros(len(row))
+                    np.maximum.at(best, pair, share)
+                    for k in np.unique(pair).tolist():
+                        i = int(segments.owner[q[k]])
+                        told = bool(answers[i]) and answers[i] <= set(a[k].tolist())
+                        old = held.setdefault((at + int(row[k]), i), [0.0, False])
+                        old[0], old[1] = max(old[0], best[k]), old[1] or told
+            if held:
+                rows, owners = np.array(list(held), np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows], pa.int64()), pa.array(ids[owners]), pa.array([float(x) for x, _ in held.values()]), pa.array([y for _, y in held.values()], pa.bool_())], names=["doc_id", "item_id", "lcs_share", "answer"])
+
+
+def paraphrases(documents: DataFrame, items: DataFrame, window: int = 24, share: float = 0.7, least_cosine: float = 0.75, item_block: int = FOLLOW_BLOCK) -> DataFrame:
+    """(doc_id, item_id, lcs_share, answer): passages that follow an item's passage without copying it.
+
+    Every window of ``window`` tokens of a document is compared with every such window of an item, wherever
+    they begin; an item shorter than that is one window, met by windows of its own length too. The exact test
+    by common subsequence comes first, then the cosine in latent space, so no candidate is lost between.
+    """
+    scratch = Scratch(documents.sparkSession, "paraphrases")
+    stride = max(1, window // 2)
+    out: DataFrame | None = None
+    for k, block in enumerate(_blocks(items, item_block)):
+        segments = Segments.of(block, window, stride, share)
+        if not len(segments.owner):
+            continue
+        reached, idf = _passages(documents, block, Passages(window, stride, 0, int(segments.need.min()), stride - 1), scratch, f"passages{k}")
+        known = F.size(F.filter("codes", lambda c: c >= 0))
+        basis = latent_basis(reached.select(F.slice("codes", 1, window).alias("codes")).where(known >= min(window // 2, int(segments.need.min()))), idf, RANK)
+        table = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        found = reached.mapInArrow(lambda it, a=(block, segments, table, least_cosine, window, stride): _follow_op(it, *a), "doc_id bigint, item_id bigint, lcs_share double, answer boolean")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, lcs_share double, answer boolean")
+    return out.groupBy("doc_id", "item_id").agg(F.max("lcs_share").alias("lcs_share"), F.max("answer").alias("answer"))

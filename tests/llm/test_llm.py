@@ -179,6 +179,24 @@ def test_paraphrases_are_found_without_a_long_run(spark):
     assert leakage.leaked_runs(docs, items).count() == 0
 
 
+def test_paraphrases_are_found_wherever_they_begin(spark):
+    rnd = random.Random(12)
+    words = rnd.sample(WORDS, 200)
+    items = [(1, " ".join(words[:60]), "x"), (2, " ".join(words[60:80]), "y"), (3, " ".join(words[80:88]), "z")]
+    docs = []
+    for begin in range(13):  # 24 tokens of the first item, two of them changed, at every distance from the stride
+        part = words[6 + begin : 30 + begin]
+        part[7], part[15] = "other", "words"
+        docs.append(" ".join([*rnd.sample(words[100:], 12 - begin), *part, *rnd.sample(words[100:], 30)]))
+    docs += [" ".join([*rnd.sample(words[100:], 17), *words[60:80], *rnd.sample(words[100:], 30)]), " ".join([*rnd.sample(words[100:], 5), *words[80:88], *rnd.sample(words[100:], 30)])]
+    table = spark.createDataFrame(items, "item_id bigint, item_text string, answer string")
+    got = {(r.doc_id, r.item_id): r.lcs_share for r in leakage.paraphrases(documents(spark, docs), table).collect()}
+    assert set(got) == {(d, 1) for d in range(13)} | {(13, 2), (14, 3)}
+    assert all(got[d, 1] >= 22 / 24 for d in range(13)) and got[13, 2] == got[14, 3] == 1
+    in_blocks = leakage.paraphrases(documents(spark, docs), table, item_block=1).select("doc_id", "item_id")
+    assert {tuple(r) for r in in_blocks.collect()} == set(got)
+
+
 def test_checks_equal_dynamic_programming():
     rnd = np.random.default_rng(4)
     a, b = rnd.integers(0, 5, (40, 9)).astype(np.int32), rnd.integers(0, 5, (40, 7)).astype(np.int32)
