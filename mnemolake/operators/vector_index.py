@@ -14,6 +14,8 @@ from mnemolake.functions.embed import DIMS, MODEL, embeddable, quantize_array, v
 from mnemolake.schema import UNINDEXED_KINDS, canonical_records
 
 OVERSAMPLE, LEAST_CANDIDATES = 4, 32
+QUERY_BLOCK = 1_000
+"""Query vectors that one pass over the index answers."""
 
 
 def pool(k: int) -> int:
@@ -48,6 +50,57 @@ def top_k(index: DataFrame, vec: str, query: np.ndarray, k: int, id_col: str = "
     return s.orderBy(F.desc("q_dot"), id_col).limit(pool(k)).orderBy(F.desc("dot"), id_col).limit(k)
 
 
+def _scored_block(index: DataFrame, vec: str, ids: list, queries: np.ndarray, keep: int, id_col: str) -> DataFrame:
+    """query_id, id, q_dot and dot of all rows that can be among a query's ``keep`` nearest by int8 product."""
+    q8 = quantize_array(queries).astype(np.float32)
+    chosen = index.select(id_col, vec)
+    kind = dict(chosen.dtypes)[id_col]
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sized = np.flatnonzero(b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == queries.shape[1])
+            if not len(sized):
+                continue
+            at = pa.array(sized, pa.int32())
+            m = b.column(1).take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(sized), -1)
+            coarse = q8 @ quantize_array(m).astype(np.float32).T  # integers below 2 ** 24, so exact
+            least = np.partition(coarse, -keep, axis=1)[:, -keep, None] if len(sized) > keep else coarse.min(axis=1, keepdims=True)
+            q, row = np.nonzero(coarse >= least)
+            exact = np.concatenate([np.einsum("ij,ij->i", queries[q[k : k + 4096]].astype(np.float64), m[row[k : k + 4096]].astype(np.float64)) for k in range(0, len(q), 4096)])
+            found = b.column(0).take(at).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in q.tolist()], found.type), found, pa.array(coarse[q, row].astype(np.int32)), pa.array(exact)], names=["query_id", id_col, "q_dot", "dot"])
+
+    return chosen.mapInArrow(op, f"query_id {kind}, {id_col} {kind}, q_dot int, dot double")
+
+
+def pooled_by_query(index: DataFrame, vec: str, queries: DataFrame, k: int, id_col: str = "id", block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``pool(k)`` nearest by int8 product of every row of ``queries`` (``id_col``, ``vec``), ties by id.
+
+    Query ids are distinct; a query without a vector has no rows. The queries are taken in blocks, each a
+    pass over the index that keeps a pool of every batch.
+    """
+    asked = queries.where(F.col(vec).isNotNull() & F.col(id_col).isNotNull()).select(id_col, vec)
+    blocks = max(1, -(-asked.count() // block))
+    out: DataFrame | None = None
+    for n in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == n).collect()
+        for dims in sorted({len(r[1]) for r in rows} - {0}):
+            same = [r for r in rows if len(r[1]) == dims]
+            found = _scored_block(index, vec, [r[0] for r in same], np.array([r[1] for r in same], np.float32), max(1, pool(k)), id_col)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        kind = dict(asked.dtypes)[id_col]
+        return index.sparkSession.createDataFrame([], f"query_id {kind}, {id_col} {kind}, q_dot int, dot double")
+    coarse = W.partitionBy("query_id").orderBy(F.desc("q_dot"), id_col)
+    return out.withColumn("rank", F.row_number().over(coarse)).where(F.col("rank") <= pool(k)).drop("rank")
+
+
+def top_k_by_query(index: DataFrame, vec: str, queries: DataFrame, k: int, id_col: str = "id", block: int = QUERY_BLOCK) -> DataFrame:
+    """``top_k`` of every row of ``queries``."""
+    exact = W.partitionBy("query_id").orderBy(F.desc("dot"), id_col)
+    return pooled_by_query(index, vec, queries, k, id_col, block).withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
+
+
 def top_k_by_space(index: DataFrame, vec: str, query: np.ndarray, k: int) -> DataFrame:
     """``top_k`` inside every space. The rank filters become group limits below the shuffle."""
     coarse = W.partitionBy("space").orderBy(F.desc("q_dot"), "id")

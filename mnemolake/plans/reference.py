@@ -412,6 +412,23 @@ def vector_topk_rerank(spark: SparkSession, root: str) -> DataFrame:
     return vector_index.top_k(table(spark, root, "embeddings"), "embedding", _query_embedding(spark, root), 8, "vec_id").select("vec_id", F.round("dot", 4).alias("score"))
 
 
+_TOPK_ALL = f"""WITH e AS (SELECT vec_id, embedding AS v, {_Q8.format('embedding')} AS v8 FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST({_DOT.format('e.v8', 'q.v8', 'p[1] * p[2]')} AS INT) AS q_dot, {_DOT.format('e.v', 'q.v', 'CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)')} AS dot FROM e, e q WHERE q.vec_id % 50 = 0),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY q_dot DESC, vec_id) <= 32) """
+
+
+@query(_TOPK_ALL + "SELECT query_id, vec_id, q_dot FROM c")
+def vector_search_int8(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "embeddings")
+    return vector_index.pooled_by_query(e, "embedding", e.where(F.col("vec_id") % 50 == 0), 8, "vec_id").select("query_id", "vec_id", "q_dot")
+
+
+@query(_TOPK_ALL + "SELECT query_id, vec_id, round(dot, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) <= 8")
+def vector_search_rerank(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "embeddings")
+    return vector_index.top_k_by_query(e, "embedding", e.where(F.col("vec_id") % 50 == 0), 8, "vec_id").select("query_id", "vec_id", F.round("dot", 4).alias("score"))
+
+
 @cache
 def _recall_sql(extra: str, superseded: str = "AND NOT superseded", least: float = 0.0) -> str:
     source = f"(SELECT {{'space': space, 'id': {CANON.format('id')}}} AS key, concat_ws(' ', coalesce(body, ''), array_to_string(tags, ' ')) AS txt FROM records WHERE kind NOT IN ('tombstone', 'conflict') UNION ALL SELECT {{'space': '', 'id': 'query'}}, '{QUERY}')"

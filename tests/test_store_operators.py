@@ -15,7 +15,7 @@ from mnemolake.functions.embed import bucket, embed_texts, fnv1a, quantize, quan
 from mnemolake.functions.text import tokenize, tokens
 from mnemolake.operators import catalog, recall, reports, spaces
 from mnemolake.operators import version_vectors as vv
-from mnemolake.operators.vector_index import top_k
+from mnemolake.operators.vector_index import pool, pooled_by_query, top_k, top_k_by_query
 from mnemolake.operators.write import IdSource, Writer, ulid_value
 from mnemolake.sources.store import RecordStore, folder_to_space, new_rows, range_scan, space_to_folder
 
@@ -63,6 +63,23 @@ def test_top_k_geometry_and_ties(spark):
     assert top_k(df, "v", np.array([1, 0]), 0).count() == 0
 
 
+def test_every_query_is_searched(spark):
+    rnd = np.random.default_rng(7)
+    vecs = rnd.standard_normal((500, 32)).astype(np.float32)
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(500, None), (501, [1.0])], "id int, v array<float>")
+    asked = df.where("id % 50 = 0")
+    exact = vecs.astype(np.float64) @ vecs.astype(np.float64).T
+    want = {(q, int(i)) for q in range(0, 500, 50) for i in np.argsort(-exact[q], kind="stable")[:8]}
+    for block in (1_000, 3):
+        got = {(r.query_id, r.id) for r in top_k_by_query(df, "v", asked, 8, block=block).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    one = top_k(df, "v", vecs[100], 8).select("id").collect()
+    assert {r.id for r in one} == {i for q, i in got if q == 100}
+    assert pooled_by_query(df, "v", asked, 8).groupBy("query_id").count().where(F.col("count") != pool(8)).count() == 0
+    assert top_k_by_query(df, "v", asked.limit(0), 8).count() == 0 and top_k_by_query(df, "v", asked, 0).count() == 0
+
+
 def test_validation_names_the_first_violation(make):
     bad = {"id": schema.ZERO_ID}, {"space": "other/x"}, {"space": "user/" + "x" * 200}, {"author_node": "a b"}, {"author_agent": ""}, {"kind": "dream"}, {"evidence": "rumour"}, {"tags": ["b", "a"]}, {"tags": [""]}, {"supersedes": [ident(9).lower()]}, {"kind": "tombstone"}, {"kind": "conflict", "refs": [ident(1)]}, {"refs": [schema.ZERO_ID]}, {"causal_ctx": {"n": schema.ZERO_ID}}
     df = make([*bad, {}])
