@@ -181,32 +181,71 @@ def _better_word(word: str, read_as: str, written_in: str) -> str | None:
     return meant if meant != word and _plausible(meant) and any(c.isalpha() and ord(c) > 127 for c in meant) else None
 
 
-def _unmix_line(line: str) -> str:
-    """Undo a single-byte mix-up: the pair of charsets that explains most damaged words of the line is
-    applied to all its words that stay plausible under it. Without a damaged word nothing changes."""
-    words = _WORD.findall(line)
-    damaged = [w for w in words if _damaged_word(w)]
-    if not damaged:
-        return line
+def _best_pair(damaged: list[str], words: list[str]) -> tuple[int, tuple[str, str]]:
+    """How many of the damaged words the pair of charsets repairs that repairs most; of equals the one whose
+    letters fit one language best, then the first."""
     scores = []
     for k, pair in enumerate(SINGLE_BYTE):
         fixed = [_better_word(w, *pair) for w in words]
         letters = [{c.lower() for c in w if c.isalpha() and ord(c) > 127} for w in fixed if w is not None]
         scores.append((sum(_better_word(w, *pair) is not None for w in damaged), max(sum(x <= set(a) for x in letters) for a in ALPHABETS), -k))
     most, _, k = max(scores)
-    if most == 0 or most * 2 < len(damaged):
-        return line
-    pair = SINGLE_BYTE[-k]
-    edges = _remap(*pair)
+    return most, SINGLE_BYTE[-k]
 
-    def change(m: re.Match[str]) -> str:
-        better = _better_word(m[0], *pair)
+
+def _has_letter(word: str) -> bool:
+    return any(c.isalpha() and ord(c) > 127 for c in word)
+
+
+@lru_cache(maxsize=100_000)
+def _repairable(word: str) -> bool:
+    """Some pair of charsets repairs the word, which is more than a sign and has no bytes of UTF-8 in it."""
+    return any(c.isalpha() for c in word) and not automaton("cp1252").search(word) and any(_better_word(word, *pair) is not None for pair in SINGLE_BYTE)
+
+
+def _whole_line(words: list[str], pair: tuple[str, str]) -> dict[str, str]:
+    """The pair applied to all words that stay plausible under it, and to signs."""
+    out = {}
+    for w in words:
+        better = _better_word(w, *pair)
+        if better is None:
+            meant = w.translate(_remap(*pair))
+            better = meant if not _has_letter(meant) and _plausible(meant) and not _plausible(w) else None
         if better is not None:
-            return better
-        meant = m[0].translate(edges)
-        return meant if not any(c.isalpha() and ord(c) > 127 for c in meant) and _plausible(meant) and not _plausible(m[0]) else m[0]
+            out[w] = better
+    return out
 
-    return _WORD.sub(change, line)
+
+def _unmix_line(line: str) -> str:
+    """Undo single-byte mix-ups. Without a damaged word nothing changes.
+
+    The pair of charsets that explains half of the damaged words or more is applied to all words of the line
+    that stay plausible under it. What it leaves is judged for each script by the words that some pair
+    repairs, so signs do not count: the pair that explains two of them and half or more is applied to the
+    rest of the script, and the others are repaired word by word. Where words of a language not told apart
+    here outnumber them, only those damaged inside are.
+    """
+    words = _WORD.findall(line)
+    odd = [w for w in words if _damaged_word(w)]
+    if not odd:
+        return line
+    most, pair = _best_pair(odd, words)
+    changes = _whole_line(words, pair) if most and most * 2 >= len(odd) else {}
+    for cyrillic in (False, True):
+        rest = [w for w in words if w not in changes and any("\u0400" <= c <= "\u04ff" for c in w) == cyrillic]
+        bad = [w for w in rest if _damaged_word(w)]
+        left = [w for w in bad if _repairable(w)]
+        if alone := sum(map(_has_letter, bad)) > 2 * len(left):
+            left = [w for w in left if _ODD.search(w)]
+        count, first = len(left), True
+        while left:
+            most, pair = _best_pair(left, left)
+            if first and not alone and most > 1 and most * 2 >= count:
+                changes |= _whole_line(rest, pair)
+            else:
+                changes |= {w: better for w in left if (better := _better_word(w, *pair)) is not None}
+            left, first = [w for w in left if w not in changes], False
+    return _WORD.sub(lambda m: changes.get(m[0], m[0]), line)
 
 
 def restore(text: str | None) -> str | None:

@@ -246,6 +246,22 @@ def test_single_byte_mixups():
     assert "décalage mesuré dépasse" in mojibake.restore(CLEAN[2].encode("mac_roman").decode("cp1252", "ignore"))
 
 
+@pytest.mark.parametrize("line", ["a → b → c {}", "≥ 5 ✓ {} 🎉", "{} ⇒ ✗ ★ ≠", "→ {}"])
+def test_signs_do_not_outvote_a_damaged_word(line):
+    bad = line.format("défaut".encode("mac_roman").decode("cp1252"))
+    assert mojibake.restore(bad) == line.format("défaut") and mojibake.is_damaged(bad)
+    assert not mojibake.is_damaged(line.format("défaut"))
+
+
+def test_two_kinds_of_damage_in_one_line():
+    polish, russian, french = CLEAN[5].encode("cp1250").decode("cp1252"), CLEAN[6].encode("koi8_r").decode("cp1251"), "dŽfaut rŽglŽ"
+    for parts in itertools.permutations([(polish, CLEAN[5]), (russian, CLEAN[6]), (french, "défaut réglé")]):
+        got = mojibake.restore(" ".join(bad for bad, _ in parts))
+        assert "défaut réglé" in got and "usunięta" in got and "исчезла через" in got
+    for s in ("Değişiklik ığdır şöyle çalıştığı için yapıldı", "Þetta er það sem við gerðum í gær"):
+        assert mojibake.restore(s + " dŽfaut") == s + " défaut"
+
+
 def test_undamaged_text_is_left_alone():
     for s in [*CLEAN, *RARE, "", "plain", None]:
         assert mojibake.restore(s) == s and not mojibake.is_damaged(s), s
