@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips, and in every awkward case."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -67,6 +68,11 @@ def test_variants_match_where_one_position_differs():
     assert len(key(sig)) == 14 and key(sig) & key(near) and not key(sig) & key(far)
 
 
+def test_sketches_lose_less_than_a_thousandth():
+    below = lambda n, p, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+    assert below(near_dup.ID_BITS, 0.85, near_dup.ID_AGREE) + below(near_dup.SKETCH, 0.775, near_dup.SKETCH_AGREE) < 0.001
+
+
 def test_near_duplicate_edge_cases(make, spark):
     assert near_dup.near_duplicate_pairs(spark.createDataFrame([], RECORD)).count() == 0
     body = "one two three four five six seven eight nine"
