@@ -43,8 +43,8 @@ def pad(data: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     out = F.lit(None).cast("string")
     for k in range(len(UNITS), 0, -1):
-        out = F.when((n < 1024 ** (k + 1)) | F.lit(k == len(UNITS)), F.format_string(f"%.1f{UNITS[k - 1]}", n / F.lit(float(1024**k)))).otherwise(out)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).otherwise(out)
+        out = F.when((n < 1024 ** (k + 1)) | F.lit(k == len(UNITS)), F.format_string(f"%.1f{UNITS[k - 1]}", F.bround(n / F.lit(float(1024**k)), 1))).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n.isNotNull(), out)
 
 
 def human_duration(s: Column) -> Column:

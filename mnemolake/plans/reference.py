@@ -105,6 +105,14 @@ def human_sizes(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root).where(F.col("bytes") < 1048576).select("id", display.human_bytes(F.col("bytes")).alias("size"))
 
 
+_UNITS = " ".join(f"WHEN bytes < {1024 ** (k + 1)} THEN printf('%.1f{u}', bytes / {1024**k}.0)" for k, u in enumerate(display.UNITS[:-1], 1))
+
+
+@query(f"SELECT id, CASE WHEN bytes < 1024 THEN bytes || 'B' {_UNITS} WHEN bytes IS NOT NULL THEN printf('%.1f{display.UNITS[-1]}', bytes / {1024 ** len(display.UNITS)}.0) END AS size FROM records")
+def human_sizes_all(spark: SparkSession, root: str) -> DataFrame:
+    return _records(spark, root).select("id", display.human_bytes(F.col("bytes")).alias("size"))
+
+
 @query("SELECT id, hlc.wall || '.' || hlc.counter AS clock, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 11), lambda i: (strpos('0123456789ABCDEFGHJKMNPQRSTVWXYZ', substr(translate(upper(id), 'OIL', '011'), i::INT, 1)) - 1)::BIGINT)), lambda a, b: a * 32 + b) AS id_millis FROM records")
 def id_times(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root).select("id", clock.hlc_text().alias("clock"), ulid_millis(F.col("id")).alias("id_millis"))

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from mnemolake import schema
 from mnemolake.engine import Engine
 from mnemolake.functions import clock, display
@@ -80,6 +81,18 @@ def test_every_query_is_searched(spark):
     assert top_k_by_query(df, "v", asked.limit(0), 8).count() == 0 and top_k_by_query(df, "v", asked, 0).count() == 0
 
 
+def test_human_sizes_cover_every_record(make, tmp_path):
+    import duckdb
+
+    sizes = [0, 5, 1023, 1024, 1280, 1536, 3 << 20, 1 << 30, 5 << 40, 7 << 50, 3 << 60, None]
+    r = make([{"bytes": n} for n in sizes]).select("id", "bytes")
+    r.write.parquet(f"{tmp_path}/records.parquet")
+    got = sorted(map(tuple, entry.queries()["human_sizes_all"](r.sparkSession, str(tmp_path)).collect()))
+    assert [s for _, s in got] == ["0B", "5B", "1023B", "1.0KB", "1.2KB", "1.5KB", "3.0MB", "1.0GB", "5.0TB", "7.0PB", "3072.0PB", None]
+    sql = entry.oracle_sql()["human_sizes_all"].replace("FROM records", f"FROM '{tmp_path}/records.parquet/*.parquet'")
+    assert sorted(duckdb.sql(sql).fetchall()) == got
+
+
 def test_validation_names_the_first_violation(make):
     bad = {"id": schema.ZERO_ID}, {"space": "other/x"}, {"space": "user/" + "x" * 200}, {"author_node": "a b"}, {"author_agent": ""}, {"kind": "dream"}, {"evidence": "rumour"}, {"tags": ["b", "a"]}, {"tags": [""]}, {"supersedes": [ident(9).lower()]}, {"kind": "tombstone"}, {"kind": "conflict", "refs": [ident(1)]}, {"refs": [schema.ZERO_ID]}, {"causal_ctx": {"n": schema.ZERO_ID}}
     df = make([*bad, {}])
