@@ -2,8 +2,13 @@
 
 Nodes are range-partitioned by (space, id), so a replacement chain, whose ids ascend in time, mostly lies
 inside one partition. Each partition contracts its own chains to their exits, the ids at which they leave
-the partition. The exits form a much smaller forest, solved the same way until one bounded task can hold
-it; then every node adds its exit's answer to its own.
+the partition. The exits form a much smaller forest, the quotient, solved the same way: a quotient that one
+bounded task can hold is contracted there; a larger one first moves every link over its target, which halves
+all its paths, and is then partitioned anew. So the number of levels is logarithmic in the longest path,
+whatever the order of ids. At the end every node adds its exit's answer to its own.
+
+Circles inside a partition close there. One across partitions closes when the smallest id passed by a record
+is the record itself, or at the latest when two links in a row are longer than there are records.
 """
 
 from __future__ import annotations
@@ -22,15 +27,15 @@ from mnemolake.session import Scratch
 FRAGMENT = "space string, id string, state string, anchor string, hops bigint, low string"
 TRAIL = ", trail array<string>"
 TASK_ROWS = 250_000
-"""Nodes that one contraction task holds at most, on average; the last level is one such task."""
+"""Nodes that one contraction task holds at most, on average; the last quotient is one such task."""
 
 
 def contract(pdf: pd.DataFrame, trails: bool = False) -> pd.DataFrame:
     """Follow every link as far as it stays inside ``pdf``.
 
-    Rows are (space, id, state, anchor, hops, low): an *open* row leads in ``hops`` steps to ``anchor``,
-    passing ids of which ``low`` is the smallest; *root* and *circle* rows are final. Pointer doubling:
-    the number of vector operations is logarithmic in the longest chain.
+    Rows are (space, id, state, anchor, hops, low): an *open* row leads in ``hops`` steps to ``anchor``, and
+    ``low`` is the smallest id it meets behind itself, ``anchor`` included; *root* and *circle* rows are
+    final. Pointer doubling: the number of vector operations is logarithmic in the longest chain.
     """
     n = len(pdf)
     if n == 0:
@@ -98,45 +103,54 @@ def parent_links(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return met.groupBy("space", "child").agg(F.max("id").alias("parent")).select("space", F.col("child").alias("id"), "parent")
 
 
-def _solve(scratch: Scratch, nodes: DataFrame, level: int, rows: int, trails: bool, task_rows: int, hot_rows: int) -> DataFrame:
+def _solve(scratch: Scratch, nodes: DataFrame, level: int, rows: int, most: int, trails: bool, task_rows: int, hot_rows: int) -> DataFrame:
+    """All of ``nodes`` final. ``most`` is the number of records at level 0, which no path without a circle exceeds."""
     schema = FRAGMENT + (TRAIL if trails else "")
     op = lambda it: _contract_partition(it, trails)
-    if rows <= task_rows:
+    if level and rows <= task_rows:
         return scratch.write(nodes.coalesce(1).mapInPandas(op, schema), f"solved{level}")
-    parts = -(-rows // task_rows)
+    parts = max(-(-rows // task_rows), 1 if level else scratch.spark.sparkContext.defaultParallelism)
     local = scratch.write(nodes.repartitionByRange(parts, "space", "id").mapInPandas(op, schema), f"local{level}")
     exits = local.where(F.col("state") == "open").groupBy("space", F.col("anchor").alias("id")).agg(F.count("*").alias("arrivals"))
-    exits = scratch.write(exits, f"exits{level}")
-    met = exits.count()
+    inner = scratch.write(local.join(exits, ["space", "id"]).select(*local.columns, "arrivals"), f"inner{level}")
+    met = inner.count()
     if met == 0:
         return local
-    inner = local.join(exits.select("space", "id"), ["space", "id"], "left_semi").select(*local.columns)
-    if met > 0.7 * rows:  # too few links were local: halve every path by one distributed jump instead
-        inner = scratch.write(_jump(inner, trails), f"jumped{level}")
-    solved = _solve(scratch, inner, level + 1, met, trails, task_rows, hot_rows)
-    answer = solved.select("space", F.col("id").alias("anchor"), F.col("state").alias("to_state"), F.col("anchor").alias("to_anchor"), F.col("hops").alias("to_hops"), F.col("low").alias("to_low"), *([F.col("trail").alias("to_trail")] if trails else []))
-    answer = scratch.write(answer.join(exits.withColumnRenamed("id", "anchor"), ["space", "anchor"]), f"answers{level}")
+    quotient = _jump(scratch, inner, level, most, trails, hot_rows) if met > task_rows else inner.drop("arrivals")
+    solved = _solve(scratch, quotient, level + 1, met, most, trails, task_rows, hot_rows)
+    answer = solved.select("space", F.col("id").alias("anchor"), F.col("state").alias("to_state"), F.col("anchor").alias("to_anchor"), F.col("hops").alias("to_hops"), *([F.col("trail").alias("to_trail")] if trails else []))
+    answer = scratch.write(answer.join(inner.select("space", F.col("id").alias("anchor"), "arrivals"), ["space", "anchor"]), f"answers{level}")
     waiting = salted_join(local.where(F.col("state") == "open"), answer, ["space", "anchor"], "arrivals", [F.col("id")], hot_rows=hot_rows)
+    circle = F.col("to_state") == "circle"
     closed = waiting.select(
-        "space", "id", F.col("to_state").alias("state"), F.col("to_anchor").alias("anchor"),
-        F.when(F.col("to_state") == "circle", F.lit(-1)).otherwise(F.col("hops") + F.col("to_hops")).cast("bigint").alias("hops"), F.least("low", "to_low").alias("low"),
-        *([F.when(F.col("to_state") == "circle", F.array().cast("array<string>")).otherwise(F.concat("trail", "to_trail")).alias("trail")] if trails else []),
+        "space", "id", F.col("to_state").alias("state"), F.col("to_anchor").alias("anchor"), F.when(circle, F.lit(-1)).otherwise(F.col("hops") + F.col("to_hops")).cast("bigint").alias("hops"), "low",
+        *([F.concat("trail", "to_trail").alias("trail")] if trails else []),
     )
     return scratch.write(local.where(F.col("state") != "open").unionByName(closed), f"solved{level}")
 
 
-def _jump(nodes: DataFrame, trails: bool) -> DataFrame:
-    """One pointer jump over all open rows; a row that comes back to itself closes its circle."""
-    nxt = nodes.select("space", F.col("id").alias("anchor"), F.col("state").alias("n_state"), F.col("anchor").alias("n_anchor"), F.col("hops").alias("n_hops"), F.col("low").alias("n_low"), *([F.col("trail").alias("n_trail")] if trails else []))
-    opened = nodes.where(F.col("state") == "open").join(nxt, ["space", "anchor"])
-    circle = (F.col("n_state") == "circle") | (F.col("anchor") == F.col("id"))
-    low = F.when(F.col("n_state") == "circle", F.col("n_anchor")).when(F.col("anchor") == F.col("id"), F.col("low"))
-    moved = opened.select(
-        "space", "id", F.when(circle, "circle").otherwise(F.col("n_state")).alias("state"), F.when(circle, low).otherwise(F.col("n_anchor")).alias("anchor"),
-        F.when(circle, F.lit(-1)).otherwise(F.col("hops") + F.col("n_hops")).cast("bigint").alias("hops"), F.least("low", "n_low").alias("low"),
-        *([F.when(circle, F.array().cast("array<string>")).otherwise(F.concat("trail", "n_trail")).alias("trail")] if trails else []),
+def _jump(scratch: Scratch, nodes: DataFrame, level: int, most: int, trails: bool, hot_rows: int) -> DataFrame:
+    """Every open row moved over its anchor, and the circles that show closed."""
+    nxt = nodes.select("space", F.col("id").alias("anchor"), "arrivals", F.col("state").alias("n_state"), F.col("anchor").alias("n_anchor"), F.col("hops").alias("n_hops"), F.col("low").alias("n_low"), *([F.col("trail").alias("n_trail")] if trails else []))
+    is_open = F.col("state") == "open"
+    met = salted_join(nodes.where(is_open).drop("arrivals"), nxt, ["space", "anchor"], "arrivals", [F.col("id")], hot_rows=hot_rows)
+    into = F.col("n_state") == "circle"
+    round_ = (F.col("n_state") == "open") & (F.col("hops") >= most) & (F.col("n_hops") >= most)  # the anchor lies on a circle, all of which lies behind it
+    moved = met.select(
+        "space", "id", F.when(round_, "circle").otherwise(F.col("n_state")).alias("state"), F.when(round_, F.col("n_low")).otherwise(F.col("n_anchor")).alias("anchor"),
+        F.when(into | round_, F.lit(-1)).otherwise(F.col("hops") + F.col("n_hops")).cast("bigint").alias("hops"), F.when(F.col("n_state") == "open", F.least("low", "n_low")).otherwise(F.col("low")).alias("low"),
+        *([F.concat("trail", "n_trail").alias("trail")] if trails else []),
     )
-    return nodes.where(F.col("state") != "open").unionByName(moved)
+    moved = scratch.write(moved.unionByName(nodes.where(~is_open).drop("arrivals")), f"moved{level}")
+    # A record that meets itself as the smallest id has seen its whole circle; whoever has met it leads into that circle.
+    seen = moved.where(is_open).groupBy("space", "low").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("low")).alias("closes")).where("closes").select("space", "low", "n")
+    rings = scratch.write(seen, f"rings{level}")
+    if rings.isEmpty():
+        return moved
+    ringed = salted_join(moved, rings, ["space", "low"], "n", [F.col("id")], how="left", hot_rows=hot_rows)
+    closes = is_open & F.col("n").isNotNull()
+    out = ringed.withColumns({"anchor": F.when(closes, F.col("low")).otherwise(F.col("anchor")), "hops": F.when(closes, F.lit(-1)).otherwise(F.col("hops")).cast("bigint"), "state": F.when(closes, "circle").otherwise(F.col("state"))})
+    return scratch.write(out.select(*moved.columns), f"jumped{level}")
 
 
 def hierarchy(records: DataFrame, trails: bool = False, task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -150,18 +164,23 @@ def hierarchy(records: DataFrame, trails: bool = False, task_rows: int = TASK_RO
     rows with null id are ignored; repeated rows of an id are one record with all their links; a null
     space is a space of its own, given back as null; an empty table gives an empty result.
     """
-    scratch = Scratch(records.sparkSession, "hierarchy")
+    spark = records.sparkSession
+    scratch = Scratch(spark, "hierarchy")
     links = scratch.write(parent_links(records, hot_rows), "links")
-    own = F.array("id") if trails else None
-    children = links.select("space", "id", F.lit("open").alias("state"), F.col("parent").alias("anchor"), F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("low"))
+    children = links.select("space", "id", F.lit("open").alias("state"), F.col("parent").alias("anchor"), F.lit(1).cast("bigint").alias("hops"), F.col("parent").alias("low"))
     tops = links.select("space", F.col("parent").alias("id")).distinct().join(links, ["space", "id"], "left_anti").select("space", "id", F.lit("root").alias("state"), F.col("id").alias("anchor"), F.lit(0).cast("bigint").alias("hops"), F.col("id").alias("low"))
-    nodes = children.unionByName(tops)
-    if trails:
-        nodes = nodes.withColumn("trail", own)
-    nodes = scratch.write(nodes, "nodes")
-    solved = _solve(scratch, nodes, 0, nodes.count(), trails, task_rows, hot_rows)
+    nodes = scratch.write(children.unionByName(tops), "nodes")
+    n = nodes.count()
+    solved = _solve(scratch, nodes, 0, n, n, False, task_rows, hot_rows)
     out = [F.when(F.col("space") != "\1", F.col("space")).alias("space"), "id", F.col("anchor").alias("root_id"), F.col("hops").alias("depth")]
-    return solved.select(*out, *([F.reverse("trail").alias("path")] if trails else []))
+    if not trails:
+        return solved.select(*out)
+    # Trails are gathered where no circle is left, so none grows beyond its path.
+    ringed = solved.where(F.col("state") == "circle")
+    walk = Scratch(spark, "trails")
+    free = walk.write(nodes.join(ringed.select("space", "id"), ["space", "id"], "left_anti").withColumn("trail", F.array("id")), "nodes")
+    pathed = _solve(walk, free, 0, free.count(), n, True, task_rows, hot_rows)
+    return pathed.select(*out, F.reverse("trail").alias("path")).unionByName(ringed.select(*out, F.array().cast("array<string>").alias("path")))
 
 
 def descendants(paths: DataFrame) -> DataFrame:

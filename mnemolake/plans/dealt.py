@@ -35,6 +35,11 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy(table(spark, root, "records")).select("id", "root_id", "depth")
 
 
+def hierarchy_fragments(spark: SparkSession, root: str) -> DataFrame:
+    """The same with fragments so small that several levels of quotients are solved at every size."""
+    return hierarchy(table(spark, root, "records"), task_rows=500).select("id", "root_id", "depth")
+
+
 def p5_paths(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy(table(spark, root, "records"), trails=True).select("id", "depth", F.array_join("path", "/").alias("path"))
 
@@ -48,7 +53,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_kept, p5_found, p5_paths, p5_descendants, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_kept, p5_found, hierarchy_fragments, p5_paths, p5_descendants, p6_found)}
 
 
 _P2 = f"""
@@ -78,6 +83,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"SELECT delivery_no FROM deliveries WHERE id IS NOT NULL AND author_node IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {CANON.format('id')}, trim(author_node) ORDER BY received_at NULLS LAST, delivery_no) > 1",
         "p4_kept": f"SELECT delivery_no, space, id, author_node, epoch FROM deliveries QUALIFY id IS NULL OR author_node IS NULL OR row_number() OVER (PARTITION BY {CANON.format('id')}, trim(author_node) ORDER BY received_at NULLS LAST, delivery_no) = 1",
         "p5_found": _P5 + "SELECT id, root_id, CAST(depth AS BIGINT) AS depth FROM f",
+        "hierarchy_fragments": _P5 + "SELECT id, root_id, CAST(depth AS BIGINT) AS depth FROM f",
         "p5_paths": _P5 + "SELECT id, CAST(depth AS BIGINT) AS depth, array_to_string(path, '/') AS path FROM f",
         "p5_descendants": _P5 + "SELECT path[lvl] AS id, id AS descendant_id, CAST(depth - lvl + 1 AS BIGINT) AS distance FROM (SELECT id, depth, path, unnest(range(1, depth + 1)) AS lvl FROM f WHERE depth > 0)",
         "p6_found": f"""
