@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(name: str = "mnemolake", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -103,7 +103,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
         """Write ``df`` and return the table read back. Shuffle files of the write are freed with it."""
-        with _setting(self.spark, _CLEANUP, "true"):
+        with _setting(self.spark, CLEANUP, "true"):
             df.write.mode(mode).parquet(self.at(name))
         return self.read(name, df)
 
@@ -111,7 +111,7 @@ class Scratch:
         """Write ``df``, already hash-partitioned by ``key``, as a table whose joins on ``key`` need no shuffle."""
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         known = f"{name}_{uuid.uuid4().hex}"
-        with _setting(self.spark, _CLEANUP, "true"):
+        with _setting(self.spark, CLEANUP, "true"):
             df.write.bucketBy(buckets, key).sortBy(key).option("path", self.at(name)).saveAsTable(known)
         return self.spark.table(known)
 
