@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemolake.llm.cooccurrence import associated_tags
 from mnemolake.llm.leakage import leaked_runs, paraphrases
 from mnemolake.llm.mojibake import repair_encoding
-from mnemolake.llm.near_dup import near_duplicate_pairs
+from mnemolake.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
 from mnemolake.llm.packing import pack_documents
 from mnemolake.sources.tables import table
 
@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, root, "records"))
 
 
+def p1_groups(spark: SparkSession, root: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, root, "records"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return associated_tags(table(spark, root, "records")).select("tag_a", "tag_b")
 
@@ -54,7 +58,7 @@ def p9_restored(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_scores, p7_packed, p7_fill, p8_found, p8_paraphrases, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_scores, p7_packed, p7_fill, p8_found, p8_paraphrases, p9_found, p9_restored)}
 
 
 def tokens_sql(text: str) -> str:
@@ -69,6 +73,14 @@ f AS (SELECT tag_a, tag_b, n_ab, u.n AS n_a, v.n AS n_b, CAST(n_ab AS DOUBLE) *
 """
 
 
+_P1 = rf"""
+b AS (SELECT id, list_distinct({tokens_sql("coalesce(body, '')")}) AS bt, list_distinct({tokens_sql("array_to_string(list_concat([coalesce(body, '')], coalesce(tags, [])), ' ')")}) AS t FROM records),
+s AS (SELECT translate(upper(id), 'OIL', '011') AS id, t, len(t) AS n FROM b WHERE len(bt) >= 8),
+e AS (SELECT id, n, unnest(t) AS w FROM s),
+c AS (SELECT x.id AS id_a, y.id AS id_b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.id < y.id AND x.n >= 0.69 * y.n AND y.n >= 0.69 * x.n GROUP BY ALL),
+f AS (SELECT id_a, id_b FROM c WHERE 10 * k >= 7 * (na + nb - k))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _P3 + "SELECT tag_a, tag_b FROM f WHERE lift >= 4",
@@ -78,10 +90,8 @@ WITH d AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents WHERE text IS
 dg AS (SELECT doc_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 8)) AS k FROM d WHERE len(t) >= 10)),
 ig AS (SELECT item_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 8)) AS k FROM i WHERE len(t) >= 10))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
-        "p1_found": rf"""
-WITH b AS (SELECT id, list_distinct({tokens_sql("coalesce(body, '')")}) AS bt, list_distinct({tokens_sql("array_to_string(list_concat([coalesce(body, '')], coalesce(tags, [])), ' ')")}) AS t FROM records),
-s AS (SELECT translate(upper(id), 'OIL', '011') AS id, t, len(t) AS n FROM b WHERE len(bt) >= 8),
-e AS (SELECT id, n, unnest(t) AS w FROM s),
-c AS (SELECT x.id AS id_a, y.id AS id_b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.id < y.id AND x.n >= 0.69 * y.n AND y.n >= 0.69 * x.n GROUP BY ALL)
-SELECT id_a, id_b FROM c WHERE 10 * k >= 7 * (na + nb - k)""",
+        "p1_found": f"WITH {_P1} SELECT id_a, id_b FROM f",
+        "p1_groups": f"""WITH RECURSIVE {_P1}, l AS (SELECT id_a AS u, id_b AS v FROM f UNION ALL SELECT id_b, id_a FROM f),
+g AS (SELECT id, id AS near FROM s UNION SELECT g.id, l.v FROM g JOIN l ON l.u = g.near), m AS (SELECT id, min(near) AS group_id, count(*) AS group_size FROM g GROUP BY id)
+SELECT m.id, group_id, group_size, (SELECT count(*) FROM l WHERE l.u = m.id) AS n_links FROM m""",
     }

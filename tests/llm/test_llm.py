@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.text import tokenize
 from mnemolake.llm import cooccurrence, leakage, mojibake, near_dup, packing
+from mnemolake.llm.components import components
 from mnemolake.schema import RECORD
 
 WORDS = [f"w{k}x{k * 7 % 13}" for k in range(4000)]
@@ -44,8 +45,8 @@ def found_pairs(df, **more):
     return {(int(r.id_a[-4:]), int(r.id_b[-4:])) for r in near_dup.near_duplicate_pairs(df, **more).collect()}
 
 
-@pytest.mark.parametrize("block", [near_dup.BLOCK, 3])
-def test_near_duplicates_equal_brute_force(make, block):
+@pytest.mark.parametrize("more", [{}, {"block": 3, "held_rows": 500, "members": 2, "part_rows": 2_000}])
+def test_near_duplicates_equal_brute_force(make, more):
     rnd = random.Random(5)
     rows = []
     for _ in range(30):
@@ -54,8 +55,20 @@ def test_near_duplicates_equal_brute_force(make, block):
         rows += [(edited(rnd, body, rnd.randrange(5)), rnd.choice([None, [], [rnd.choice(WORDS), None, " "]])) for _ in range(rnd.randrange(4))]
     rows += [(text(random.Random(1), 40), None)] * 6  # exact copies
     want = brute_pairs(rows)
-    got = found_pairs(make([{"body": b, "tags": t} for b, t in rows]), block=block)
+    df = make([{"body": b, "tags": t} for b, t in rows])
+    got = found_pairs(df, **more)
     assert got <= want and len(want - got) <= 0.02 * len(want)
+    near, groups = {i: {i} for i, (b, _) in enumerate(rows) if len(set(tokenize(b))) >= 8}, {}
+    for a, b in got:
+        near[a].add(b), near[b].add(a)
+    for i in near:  # the smallest record that can be reached
+        seen, todo = {i}, [i]
+        while todo:
+            todo += new if (new := near[todo.pop()] - seen) and not seen.update(new) else []
+        groups[i] = (min(seen), len(seen), len(near[i]) - 1)
+    more.pop("members", None)
+    told = near_dup.near_duplicate_groups(df, hot_rows=3, **more).collect()
+    assert {int(r.id[-4:]): (int(r.group_id[-4:]), r.group_size, r.n_links) for r in told} == groups
 
 
 def test_variants_match_where_one_position_differs():
@@ -70,7 +83,7 @@ def test_variants_match_where_one_position_differs():
 
 def test_sketches_lose_less_than_a_thousandth():
     below = lambda n, p, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
-    assert below(near_dup.ID_BITS, 0.85, near_dup.ID_AGREE) + below(near_dup.SKETCH, 0.775, near_dup.SKETCH_AGREE) < 0.001
+    assert below(near_dup.SHORT_BITS, 0.85, near_dup.SHORT_AGREE) + below(near_dup.SKETCH, 0.775, near_dup.SKETCH_AGREE) < 0.001
 
 
 def test_near_duplicate_edge_cases(make, spark):
@@ -79,6 +92,24 @@ def test_near_duplicate_edge_cases(make, spark):
     odd = make([{"body": None}, {"body": ""}, {"body": "one two three"}, {"body": body, "tags": [None]}, {"body": body.upper(), "tags": []}, {"id": None, "body": body}, {"body": "tail " * 30_000 + body}])
     odd = odd.withColumn("set_id", F.lit("x")).withColumn("key", F.lit(1))
     assert found_pairs(odd.union(odd)) == {(3, 4), (3, 6), (4, 6)}
+    got = {r.id[-4:]: (r.group_id[-4:], r.group_size, r.n_links) for r in near_dup.near_duplicate_groups(odd.union(odd)).collect()}
+    assert got == {"0003": ("0003", 3, 2), "0004": ("0003", 3, 2), "0006": ("0003", 3, 2)}
+    assert near_dup.near_duplicate_groups(odd.limit(0)).count() == 0
+
+
+def test_packed_variants_come_back():
+    rnd = np.random.default_rng(2)
+    ids, size, short = rnd.integers(0, 1 << 62, 50), rnd.integers(8, 99, 50).astype(np.uint16), rnd.integers(0, 1 << 32, 50).astype(np.uint32)
+    keys = rnd.integers(0, 1 << 63, (50, 6)).astype(np.uint64)
+    got = {(part, *map(int, row)) for part, blob in near_dup._packed(ids, size, short, keys, 5) for row in zip(*near_dup._unpacked(blob))}
+    assert got == {(int(k >> np.uint64(32)) % 5, int(k & np.uint64(0xFFFFFFFF)), int(ids[i]), int(short[i]), int(size[i])) for i in range(50) for k in keys[i]}
+
+
+def test_components_of_long_chains(spark):
+    links = [(k + 1, k) for k in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)] + [(200, 200 + k) for k in range(1, 30)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), hot_rows=5).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100} | {200 + k: 200 for k in range(30)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 # --- co-occurrence
