@@ -90,6 +90,29 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+BUCKET_ROWS, MOST_BUCKETS = 2_000_000, 100_000
+"""Rows that one bucket of an intermediate table holds, and Spark's own bound on the number of buckets."""
+_WRITTEN: set[str] = set()
+
+
+def release() -> None:
+    """Delete the intermediate tables of all operator calls so far; results that still read them end here.
+
+    Runs by itself when the driver's Python ends.
+    """
+    from pyspark import SparkContext
+
+    jvm = getattr(SparkContext._gateway, "jvm", None)
+    for at in list(_WRITTEN):
+        with contextlib.suppress(Exception):  # the JVM may be gone; then the folder's owner cleans up
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        _WRITTEN.discard(at)
+
+
+atexit.register(release)
+
+
 class Scratch:
     """Tables one operator call writes and reads again."""
 
@@ -97,6 +120,8 @@ class Scratch:
         ship_package(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
+        _WRITTEN.add(self.path)
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -107,11 +132,15 @@ class Scratch:
             df.write.mode(mode).parquet(self.at(name))
         return self.read(name, df)
 
-    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """Write ``df``, already hash-partitioned by ``key``, as a table whose joins on ``key`` need no shuffle."""
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        known = f"{name}_{uuid.uuid4().hex}"
-        with _setting(self.spark, CLEANUP, "true"):
+    def write_bucketed(self, df: DataFrame, name: str, key: str, rows: int = 0) -> DataFrame:
+        """Write ``df``, which ends in an aggregation by ``key``, as a table whose joins on ``key`` need no shuffle.
+
+        Its buckets are those of that aggregation's shuffle: as many as ``rows`` need, and at least one a
+        shuffle partition.
+        """
+        buckets = min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
+        self.tables[name] = known = f"{name}_{uuid.uuid4().hex}"
+        with _setting(self.spark, CLEANUP, "true"), _setting(self.spark, "spark.sql.shuffle.partitions", str(buckets)):
             df.write.bucketBy(buckets, key).sortBy(key).option("path", self.at(name)).saveAsTable(known)
         return self.spark.table(known)
 
@@ -122,5 +151,7 @@ class Scratch:
         """Delete tables nothing reads any more."""
         jvm = self.spark._jvm
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(self.at(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
