@@ -1,9 +1,14 @@
 """Evaluation texts leaking into the corpus: latent semantic retrieval, then exact checks.
 
 Documents are cut into overlapping passages; the TF-IDF matrix of all passages that could match an item
-is factorised by a distributed randomised SVD; passages and item passages are compared by cosine in the
-latent space, and the candidates are checked token by token: longest common run, longest common
-subsequence, and whether the answer stands in the passage's neighbourhood.
+is factorised by a distributed randomised SVD; passages and item passages are compared in the latent space, and
+the candidates are checked token by token: longest common run, longest common subsequence, and whether the
+answer's tokens stand in the passage.
+
+Where a common run is asked for, the search loses nothing. A product of two passages is their latent product
+and the product of what the latent space leaves of them, which is at most that of the two remainders' lengths;
+and two passages with a common run have at least the run's own weight in common. So a pair is a candidate if
+latent product and remainders together reach the smallest weight a run of either passage can have.
 
 Only tokens the items use have a coordinate, since any other adds nothing to a product with an item.
 """
@@ -23,14 +28,16 @@ from mnemolake.functions.text import tokenize
 from mnemolake.session import Scratch
 
 RANK = 64
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 2_000
 """Items that one pass holds; more are taken in blocks, each a pass over the corpus."""
+COLUMNS = 8_192
+"""Item passages that one matrix product takes."""
 FOLLOW_BLOCK = 2_000
 """The same for paraphrases, whose pass holds one cell for each item segment and token."""
 MASK_CELLS = 32_000_000
 """Cells of the place masks that a task holds; beyond, subsequences are counted cell by cell."""
 FAN_IN = 64
-"""Groups in which the sums of all tasks are added up before they reach the driver."""
+"""Sums that one task adds up, and at most so many reach the driver."""
 
 
 @dataclass(frozen=True)
@@ -142,22 +149,32 @@ def _gram_op(batches: Iterator[pa.RecordBatch], basis: np.ndarray, idf: np.ndarr
 
 
 def _sum_blobs(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x, np.float64) for x in pdf["blob"]], axis=0)
-    return pd.DataFrame({"blob": [total.tobytes()]})
+    total = np.frombuffer(pdf["blob"].iloc[0], np.float64).copy()
+    for x in pdf["blob"].iloc[1:]:
+        total += np.frombuffer(x, np.float64)
+    return pd.DataFrame({"part": [pdf["part"].iloc[0] // FAN_IN], "blob": [total.tobytes()]})
 
 
 def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, passes: int = 3, seed: int = 11) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix: randomised subspace iteration.
 
-    Each pass multiplies a terms-by-rank block by the Gram matrix, one sum a task, the tasks' sums added up
-    in FAN_IN groups; only those blocks, whose size the items bound, come to the driver.
+    Each pass multiplies a terms-by-rank block by the Gram matrix, one sum a task. The tasks' sums are added
+    up in a tree of FAN_IN sums a node, as high as the number of tasks needs; only blocks whose size the
+    items bound, FAN_IN of them at most, come to the driver.
     """
     rank = min(rank, len(idf))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), rank)))[0]
+    chosen = passages.select("codes")
+    tasks = chosen.rdd.getNumPartitions()
     for _ in range(passes):
-        sums = passages.select("codes").mapInArrow(lambda it, q=basis: _gram_op(it, q, idf), "part bigint, blob binary")
-        sums = sums.groupBy(F.pmod("part", F.lit(FAN_IN)).alias("node")).applyInPandas(_sum_blobs, "blob binary")
-        gram = np.sum([np.frombuffer(r.blob, np.float64) for r in sums.toLocalIterator()], axis=0).reshape(len(idf), rank)
+        sums = chosen.mapInArrow(lambda it, q=basis: _gram_op(it, q, idf), "part bigint, blob binary")
+        left = tasks
+        while left > FAN_IN:
+            sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("node")).applyInPandas(_sum_blobs, "part bigint, blob binary")
+            left = -(-left // FAN_IN)
+        gram = np.zeros((len(idf), rank))
+        for r in sums.toLocalIterator():
+            gram += np.frombuffer(r.blob, np.float64).reshape(gram.shape)
         small, last = basis.T @ gram, basis
         basis = np.linalg.qr(gram)[0]
     return last @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
@@ -227,39 +244,76 @@ def run_hashes(rows: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarray, index: np.ndarray, owner: np.ndarray, least_cosine: float, item_parts: list[np.ndarray], window: int, least_run: int, least_lcs: float) -> Iterator[pa.RecordBatch]:
-    """Cosine candidates of all passages of a batch, then the checks, over all candidate pairs at once."""
+def run_weights(rows: np.ndarray, squares: np.ndarray, run: int) -> np.ndarray:
+    """The smallest weight of ``run`` known tokens in a row; infinite where there is no such run."""
+    known = rows >= 0
+    total = np.pad(np.cumsum(np.where(known, squares[rows], 0.0), axis=1), ((0, 0), (1, 0)))
+    count = np.pad(np.cumsum(known, axis=1), ((0, 0), (1, 0)))
+    if rows.shape[1] < run:
+        return np.full(len(rows), np.inf)
+    return np.where(count[:, run:] - count[:, :-run] == run, total[:, run:] - total[:, :-run], np.inf).min(axis=1)
+
+
+def latent(rows: np.ndarray, table: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Latent coordinates of passages, and the length of what the latent space leaves of them."""
+    z = np.zeros((len(rows), table.shape[1]))
+    length = np.zeros(len(rows))
+    for j in range(rows.shape[1]):
+        z += table[rows[:, j]]  # unknown and missing tokens take the last row, of zeros
+        length += squares[rows[:, j]] * (rows == rows[:, j, None]).sum(axis=1)
+    rest = np.sqrt(np.maximum(length - (z * z).sum(axis=1), 0.0))
+    return np.hstack([z, rest[:, None]])
+
+
+def _candidates(both: np.ndarray, index: np.ndarray, least_cosine: float, bounds: np.ndarray | None, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of passages and item passages that may match; with ``bounds`` none that could have a run is left out."""
+    unit = lambda x: x[:, :-1] / np.maximum(np.linalg.norm(x[:, :-1], axis=1, keepdims=True), 1e-12)
+    x, y = ((both, index) if bounds is not None else (unit(both), unit(index)))
+    x, y, floor = x.astype(np.float32), y.astype(np.float32), (0.999 * weights).astype(np.float32)  # single precision: a thousandth of slack
+    for at in range(0, len(x), 1024):
+        mine = (0.999 * bounds[at : at + 1024, None]).astype(np.float32) if bounds is not None else np.float32(least_cosine)
+        for col in range(0, len(y), COLUMNS):
+            product = x[at : at + 1024] @ y[col : col + COLUMNS].T
+            ok = product >= mine
+            if bounds is not None:
+                ok &= product >= floor[None, col : col + COLUMNS]
+            p, q = np.nonzero(ok)
+            yield p + at, q + col
+
+
+def _search_op(batches: Iterator[pa.RecordBatch], items: Items, table: np.ndarray, squares: np.ndarray, owner: np.ndarray, least_cosine: float, item_parts: list[np.ndarray], window: int, least_run: int, least_lcs: float) -> Iterator[pa.RecordBatch]:
+    """Candidates of all passages of a batch, then the checks, over all candidate pairs at once."""
     names = ["doc_id", "item_id", "pos", "cosine", "run", "lcs", "span", "answer"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
     answers = [set(a.tolist()) for a in items.answers]
     ids = np.array(items.ids, np.int64)
     spans = np.array([len(p) for p in item_parts])
-    theirs = padded(np.concatenate(item_parts), spans, window, -2)
+    flat_items = np.concatenate(item_parts)
+    theirs = padded(flat_items, spans, window, -2)
     masks = place_masks(theirs, len(items.vocabulary))
     their_hashes = run_hashes(theirs, least_run) if least_run else None
+    index = latent(padded(flat_items, spans, window, -1), table, squares)
+    weights = run_weights(theirs, squares, least_run) if least_run else np.ones(len(theirs))
     for b in batches:
         lists = b.column(2)
         lengths = lists.value_lengths().to_numpy()
         if not len(lengths):
             continue
-        flat = lists.flatten().to_numpy()
         doc, pos = b.column(0).to_numpy(), b.column(1).to_numpy()
-        mine = padded(flat, lengths, window, -1)
+        mine = padded(lists.flatten().to_numpy(), lengths, window, -1)
         my_hashes = run_hashes(mine, least_run) if least_run else None
-        z = _weighted_sums(flat, lengths, table)
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        for at in range(0, len(z), 1024):
-            cosine = z[at : at + 1024] @ index.T
-            i, q = np.nonzero(cosine >= least_cosine)
-            p = i + at
-            near = cosine[i, q]
+        both = latent(mine, table, squares)
+        for p, q in _candidates(both, index, least_cosine, run_weights(mine, squares, least_run) if least_run else None, weights):
             if least_run:
                 shared = np.zeros(len(p), bool)
                 for k in range(my_hashes.shape[1]):
-                    shared |= (my_hashes[p, k, None] == their_hashes[q]).any(axis=1)
-                p, q, near = p[shared], q[shared], near[shared]
+                    own = my_hashes[:, k][p]
+                    for other in range(their_hashes.shape[1]):
+                        shared |= own == their_hashes[:, other][q]
+                p, q = p[shared], q[shared]
             if not len(p):
                 continue
+            near = (both[p, :-1] * index[q, :-1]).sum(axis=1) / np.maximum(np.linalg.norm(both[p, :-1], axis=1) * np.linalg.norm(index[q, :-1], axis=1), 1e-12)
             lcs = masked_subsequences(mine[p], q, masks, window) if masks is not None else common_subsequences(mine[p], theirs[q])
             ok = lcs >= least_lcs * spans[q]
             p, q, near, lcs = p[ok], q[ok], near[ok], lcs[ok]
@@ -296,7 +350,9 @@ def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(
     Result: doc_id, item_id, pos (token at which the document passage begins), cosine, run and lcs
     (longest common run and subsequence, in tokens), span (tokens of the item passage), answer (all tokens
     of the item's answer stand in the passage). One row for each pair of passages that have a common run of
-    ``least_run`` tokens and a common subsequence of ``least_lcs`` of the item passage.
+    ``least_run`` tokens and a common subsequence of ``least_lcs`` of the item passage. ``least_cosine`` counts
+    only where no run is asked for; with ``least_run`` the latent bound of the module text decides, which no
+    pair with such a run fails.
 
     Document frequencies, passages and the factorisation cover all documents; no sample, no cap on
     candidates. Every task streams its documents; nothing is shuffled but the small sums.
@@ -315,13 +371,10 @@ def leaks(documents: DataFrame, items: DataFrame, passages: Passages = Passages(
             continue
         qualifying, idf = _passages(documents, block, passages, scratch, f"passages{k}")
         basis = latent_basis(qualifying, idf, rank)
-        table = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        lengths = np.array([len(p) for _, p in parts])
-        index = _weighted_sums(np.concatenate([p for _, p in parts]), lengths, table)
-        index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-12)
+        table, squares = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]), np.append(idf**2, 0.0)
         owner = np.array([i for i, _ in parts])
         item_parts = [p for _, p in parts]
-        found = qualifying.mapInArrow(lambda it, a=(block, table, index, owner, least_cosine, item_parts, passages.window, least_run, least_lcs): _search_op(it, *a), schema)
+        found = qualifying.mapInArrow(lambda it, a=(block, table, squares, owner, least_cosine, item_parts, passages.window, least_run, least_lcs): _search_op(it, *a), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
