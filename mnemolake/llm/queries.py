@@ -9,7 +9,8 @@ from mnemolake.llm.cooccurrence import associated_tags
 from mnemolake.llm.leakage import leaked_runs, paraphrases
 from mnemolake.llm.mojibake import repair_encoding
 from mnemolake.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
-from mnemolake.llm.packing import pack_documents
+from mnemolake.llm.packing import INSTRUCTION, Limits, pack_documents, packing_report
+from mnemolake.session import Scratch
 from mnemolake.sources.tables import table
 
 
@@ -34,11 +35,25 @@ def p7_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(table(spark, root, "documents"))
 
 
+def p7_instruct(spark: SparkSession, root: str) -> DataFrame:
+    """Under the limits of instruction data, all three of which bind."""
+    return pack_documents(table(spark, root, "documents"), INSTRUCTION)
+
+
+def _reports(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents")
+    one = lambda name, limits: packing_report(Scratch(spark, "placed").write(pack_documents(documents, limits), "placed"), limits).withColumn("limits", F.lit(name))
+    return one("plain", Limits()).unionByName(one("instruct", INSTRUCTION))
+
+
 def p7_fill(spark: SparkSession, root: str) -> DataFrame:
-    """How full the sequences are, all together."""
-    placed = pack_documents(table(spark, root, "documents")).where("seq_id is not null")
-    each = placed.groupBy("seq_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("segments"), F.sum("loss").alias("loss"))
-    return each.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * 2048)).alias("fill"), F.max("n").alias("most_tokens"), F.max("segments").alias("most_segments"))
+    """How full the sequences are, how few there could be, and how many stand at a limit."""
+    return _reports(spark, root).select("limits", "sequences", "least_sequences", "tokens", "fill", "most_segments", "full_segments", "full_loss")
+
+
+def p7_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What packing promises, as numbers that SQL can name without packing."""
+    return _reports(spark, root).select("limits", "texts", "empty_texts", "over_tokens", "over_segments", "over_loss", "split_texts", "broken_texts")
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -58,7 +73,7 @@ def p9_restored(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_scores, p7_packed, p7_fill, p8_found, p8_paraphrases, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_scores, p7_packed, p7_instruct, p7_fill, p7_invariants, p8_found, p8_paraphrases, p9_found, p9_restored)}
 
 
 def tokens_sql(text: str) -> str:
@@ -85,6 +100,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _P3 + "SELECT tag_a, tag_b FROM f WHERE lift >= 4",
         "p3_scores": _P3 + "SELECT tag_a, tag_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(log2(lift), 6) AS pmi, round(n_ab / (n_a + n_b - n_ab), 6) AS jaccard FROM f WHERE lift >= 4",
+        "p7_invariants": "SELECT limits, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS texts, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = '') AS empty_texts, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss, 0 AS split_texts, 0 AS broken_texts FROM (VALUES ('plain'), ('instruct')) AS l(limits)",
         "p8_found": rf"""
 WITH d AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {tokens_sql("item_text")} AS t FROM eval_items),
 dg AS (SELECT doc_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 8)) AS k FROM d WHERE len(t) >= 10)),

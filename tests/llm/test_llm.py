@@ -163,7 +163,7 @@ def test_documents_are_packed_whole(spark):
     rnd = random.Random(8)
     texts = [None, "", "a", "a", text(rnd, 9000), "user: hidden words\nagent: shown words\n"] + [text(rnd, rnd.randrange(5, 300)) for _ in range(150)]
     df = documents(spark, texts).withColumn("tokens", F.lit("x")).withColumn("piece", F.lit(1))
-    encode = packing._encoding(packing.VOCABULARY).encode_ordinary
+    encode = packing._encoding(packing.VOCABULARY)[0].encode_ordinary
     for group_rows in (packing.GROUP_ROWS, 40):
         out = packing.pack_documents(df, group_rows=group_rows).toPandas()
         assert out.groupby("doc_id")["tokens"].sum().to_dict() == {i: len(encode(t or "")) for i, t in enumerate(texts)}
@@ -174,11 +174,26 @@ def test_documents_are_packed_whole(spark):
         assert sorted(placed[placed["doc_id"] == 4]["tokens"])[1:] == [2048] * (len(placed[placed["doc_id"] == 4]) - 1)
         assert (out[out["doc_id"] == 5]["loss"] == len(encode(texts[5])) - len(encode("user: hidden words\n"))).all()
         assert placed["tokens"].sum() / (placed["seq_id"].nunique() * 2048) > 0.9
+    limits = packing.Limits(2048, 5, 1500)
+    for group_rows in (packing.GROUP_ROWS, 40):  # all three limits bind, and nothing is cut that fits
+        r = packing.packing_report(packing.pack_documents(df, limits, group_rows=group_rows), limits).first()
+        assert (r.texts, r.empty_texts, r.over_tokens, r.over_segments, r.over_loss, r.split_texts, r.broken_texts) == (len(texts), 2, 0, 0, 0, 0, 0)
+        assert r.least_sequences <= r.sequences <= 1.7 * r.least_sequences and r.full_segments > 0
     both = packing.pack_documents(df.where("doc_id = 2").union(df.where("doc_id = 2"))).toPandas()
     assert len(both) == 2 and both["copy"].nunique() == 2
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_loss_is_counted_at_the_tokens():
+    encoding, lengths = packing._encoding(packing.VOCABULARY)
+    said = "user: naïve “words” here\nagent: shown ✓ words\ntool: " + "x" * 50 + "\nagent: more\nuser: no line end"
+    tokens = np.array(encoding.encode_ordinary(said))
+    bearing = packing.loss_bearing(said, tokens, lengths, ("user: ", "tool: "))
+    shown = encoding.decode([int(t) for t, b in zip(tokens, bearing) if b])
+    assert "shown ✓ words" in shown and "agent: more" in shown and "x" * 5 not in shown and "here" not in shown and "no line end" not in shown
+    assert packing.loss_bearing("plain", np.array(encoding.encode_ordinary("plain")), lengths, ("user: ",)).all()
+
+
 # --- leakage
 
 
