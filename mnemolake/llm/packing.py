@@ -181,9 +181,9 @@ def packing_report(placed: DataFrame, limits: Limits) -> DataFrame:
     beyond a limit (of several pieces, for the last); split_texts are texts cut although they fit; broken_texts
     are texts whose pieces do not follow each other without gap or repeat.
     """
-    seqs = placed.where(F.col("seq_id").isNotNull()).groupBy("seq_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("k"), F.sum("loss").alias("l"))
+    seqs = placed.where(F.col("seq_id").isNotNull()).groupBy("seq_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("k"), F.sum("loss").alias("l"), F.sum(F.least(F.col("loss"), F.lit(limits.loss))).alias("bound"))
     a = seqs.agg(
-        F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("k"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("l"), F.lit(0)).alias("loss"), F.max("k").alias("most_segments"), F.count_if(F.col("k") == limits.segments).alias("full_segments"),
+        F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("k"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("bound"), F.lit(0)).alias("loss"), F.max("k").alias("most_segments"), F.count_if(F.col("k") == limits.segments).alias("full_segments"),
         F.count_if(F.col("l") == limits.loss).alias("full_loss"), F.count_if(F.col("n") > limits.tokens).alias("over_tokens"), F.count_if(F.col("k") > limits.segments).alias("over_segments"), F.count_if((F.col("l") > limits.loss) & (F.col("k") > 1)).alias("over_loss"),
     )
     texts = placed.groupBy("doc_id", "copy").agg(F.count("*").alias("k"), F.count_distinct("piece").alias("d"), F.max("piece").alias("last"), F.sum("tokens").alias("n"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.count("seq_id").alias("placed"))

@@ -174,7 +174,7 @@ def test_documents_are_packed_whole(spark):
         assert sorted(placed[placed["doc_id"] == 4]["tokens"])[1:] == [2048] * (len(placed[placed["doc_id"] == 4]) - 1)
         assert (out[out["doc_id"] == 5]["loss"] == len(encode(texts[5])) - len(encode("user: hidden words\n"))).all()
         assert placed["tokens"].sum() / (placed["seq_id"].nunique() * 2048) > 0.9
-    limits = packing.Limits(2048, 5, 1500)
+    limits = packing.Limits(2048, 3, 1500)
     for group_rows in (packing.GROUP_ROWS, 40):  # all three limits bind, and nothing is cut that fits
         r = packing.packing_report(packing.pack_documents(df, limits, group_rows=group_rows), limits).first()
         assert (r.texts, r.empty_texts, r.over_tokens, r.over_segments, r.over_loss, r.split_texts, r.broken_texts) == (len(texts), 2, 0, 0, 0, 0, 0)
