@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from mnemolake.session import ship_package
 
-ROUNDS = 8
-"""Layers of damage, and charsets within them, that are undone in one stretch."""
-
 # Charsets by priority; where two give the same span, the first one decides.
 CHARSETS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp1254")
 
@@ -122,10 +119,8 @@ _ODD = re.compile(r"[\x80-\x9f]|[^\W\d_][^\w\s’‘–·…\xa0\x00-\x7f][^\W\d
 
 @lru_cache(maxsize=100_000)
 def _fix_run(run: str) -> str:
-    for _ in range(ROUNDS):
-        better = decode_spans(run)
-        if better == run:
-            break
+    """All layers of damage undone; every layer makes the run shorter, so this ends."""
+    while (better := decode_spans(run)) != run:
         run = better
     return run
 
@@ -134,7 +129,7 @@ def _fix_match(m: re.Match[str]) -> str:
     better = _fix_run(m[0])
     before = m.string[max(0, m.start() - 2) : m.start()]
     # a small letter at the end of a word in capitals is a capital and a closing mark after all
-    return m[0] if len(m[0]) == 2 and better.islower() and before.isalpha() and before.isupper() else better
+    return m[0] if len(m[0]) == len(before) == 2 and better.islower() and before.isalpha() and before.isupper() else better
 
 
 @cache
@@ -248,22 +243,31 @@ def _unmix_line(line: str) -> str:
     return _WORD.sub(lambda m: changes.get(m[0], m[0]), line)
 
 
+def restored_by(text: str | None) -> tuple[str | None, str]:
+    """The restored text, and the ways that found something: ``bytes`` (the automaton), ``letters`` (single-byte
+    mix-ups, word by word) and ``lost`` (U+FFFD, which stays), joined by ``+``."""
+    if text is None or _PLAIN.match(text):
+        return text, ""
+    decoded = _RUN.sub(_fix_match, text)
+    out = decoded
+    if _ODD.search(out):
+        out = "\n".join(_unmix_line(x) if _ODD.search(x) else x for x in out.split("\n"))
+    found = (("bytes", decoded != text), ("letters", out != decoded), ("lost", "\ufffd" in text))
+    return out, "+".join(name for name, yes in found if yes)
+
+
 def restore(text: str | None) -> str | None:
     """The text with every decodable span restored; null stays null, U+FFFD stays where it stands."""
-    if text is None or _PLAIN.match(text):
-        return text
-    text = _RUN.sub(_fix_match, text)
-    if _ODD.search(text):
-        text = "\n".join(_unmix_line(x) if _ODD.search(x) else x for x in text.split("\n"))
-    return text
+    return restored_by(text)[0]
 
 
 def is_damaged(text: str | None) -> bool:
-    return text is not None and ("\ufffd" in text or restore(text) != text)
+    return restored_by(text)[1] != ""
 
 
 def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with text from a wrong decoding: id, restored text, and whether all of it came back.
+    """Documents with text from a wrong decoding: id, restored text, whether all of it came back, and by which
+    ``route`` (see ``restored_by``).
 
     Rows without a character beyond ASCII are left out before Python sees them; the rest streams through
     in Arrow batches, without a shuffle, so one source or one very long text skews nothing.
@@ -272,14 +276,13 @@ def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows are each reported; other columns are ignored; an empty table gives an empty result.
     """
     ship_package(documents.sparkSession)
-    schema = f"{id_col} {dict(documents.dtypes)[id_col]}, restored string, complete boolean"
+    schema = f"{id_col} {dict(documents.dtypes)[id_col]}, restored string, complete boolean, route string"
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            fixed = [restore(t) for t in texts]
-            keep = [i for i, (t, f) in enumerate(zip(texts, fixed)) if f != t or "\ufffd" in t]
-            out = [fixed[i] for i in keep]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int32())), pa.array(out, pa.string()), pa.array(["\ufffd" not in x for x in out], pa.bool_())], names=[id_col, "restored", "complete"])
+            fixed = [restored_by(t) for t in b.column(1).to_pylist()]
+            keep = [i for i, (_, route) in enumerate(fixed) if route]
+            out, routes = [fixed[i][0] for i in keep], [fixed[i][1] for i in keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.array(out, pa.string()), pa.array(["\ufffd" not in x for x in out], pa.bool_()), pa.array(routes, pa.string())], names=[id_col, "restored", "complete", "route"])
 
     return documents.where(F.col(text_col).rlike(r"[^\x00-\x7F]")).select(id_col, text_col).mapInArrow(op, schema)

@@ -72,8 +72,22 @@ def p9_restored(spark: SparkSession, root: str) -> DataFrame:
     return repair_encoding(table(spark, root, "documents"))
 
 
+def p9_routes(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents each way of p9_found finds."""
+    return repair_encoding(table(spark, root, "documents")).groupBy("route").agg(F.count("*").alias("n"))
+
+
+def p9_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """Every item, damaged by reading its UTF-8 bytes as Latin-1 (twice, for every second one) and restored."""
+    items = table(spark, root, "eval_items").select("item_id", F.col("item_text").alias("original"))
+    once = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    damaged = items.withColumn("text", F.when(F.col("item_id") % 2 == 0, once(once(F.col("original")))).otherwise(once(F.col("original"))))
+    fixed = repair_encoding(damaged, "item_id").select("item_id", "restored")
+    return damaged.join(fixed, "item_id", "left").select("item_id", F.coalesce("restored", "text").alias("item_text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_scores, p7_packed, p7_instruct, p7_fill, p7_invariants, p8_found, p8_paraphrases, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_scores, p7_packed, p7_instruct, p7_fill, p7_invariants, p8_found, p8_paraphrases, p9_found, p9_restored, p9_routes, p9_roundtrip)}
 
 
 def tokens_sql(text: str) -> str:
@@ -106,6 +120,7 @@ WITH d AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents WHERE text IS
 dg AS (SELECT doc_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 8)) AS k FROM d WHERE len(t) >= 10)),
 ig AS (SELECT item_id, array_to_string(list_slice(t, k, k + 9), ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 8)) AS k FROM i WHERE len(t) >= 10))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p9_roundtrip": "SELECT item_id, item_text FROM eval_items",
         "p1_found": f"WITH {_P1} SELECT id_a, id_b FROM f",
         "p1_groups": f"""WITH RECURSIVE {_P1}, l AS (SELECT id_a AS u, id_b AS v FROM f UNION ALL SELECT id_b, id_a FROM f),
 g AS (SELECT id, id AS near FROM s UNION SELECT g.id, l.v FROM g JOIN l ON l.u = g.near), m AS (SELECT id, min(near) AS group_id, count(*) AS group_size FROM g GROUP BY id)

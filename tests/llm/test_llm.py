@@ -322,6 +322,16 @@ def test_undamaged_text_is_left_alone():
 def test_repair_table(spark):
     bad = misread(CLEAN[0], "cp1252")
     df = documents(spark, [CLEAN[0], bad, None, "", "lost �", "x" * 200_000 + bad]).withColumn("restored", F.lit(1))
-    got = {r.doc_id: (r.restored, r.complete) for r in mojibake.repair_encoding(df).collect()}
-    assert got == {1: (CLEAN[0], True), 4: ("lost �", False), 5: ("x" * 200_000 + CLEAN[0], True)}
+    got = {r.doc_id: (r.restored, r.complete, r.route) for r in mojibake.repair_encoding(df).collect()}
+    assert got == {1: (CLEAN[0], True, "bytes"), 4: ("lost �", False, "lost"), 5: ("x" * 200_000 + CLEAN[0], True, "bytes")}
+    mixed = "dŽfaut rŽglŽ\n" + bad + " �"
+    assert mojibake.restored_by(mixed) == ("défaut réglé\n" + CLEAN[0] + " �", "bytes+letters+lost")
     assert mojibake.repair_encoding(df.limit(0)).count() == 0
+    assert mojibake.restore(misread("Für Ärger. Où ça?", "cp1252")) == "Für Ärger. Où ça?"
+
+
+def test_any_number_of_layers_is_undone():
+    deep = "„Größe“ – naïve"
+    for _ in range(12):
+        deep = misread(deep, "latin-1")
+    assert mojibake.restore(deep) == "„Größe“ – naïve"
