@@ -35,9 +35,51 @@ def padded_length(n: Column) -> Column:
     return size_bucket(n + 1 + varint_length(n))
 
 
+@F.pandas_udf(T.BinaryType())
+def _length_prefix(n: pd.Series) -> pd.Series:
+    def one(v: int) -> bytes:
+        out = bytearray()
+        while v >= 0x80:
+            out.append(v & 0x7F | 0x80)
+            v >>= 7
+        return bytes([*out, v])
+
+    return n.map(lambda v: None if pd.isna(v) else one(int(v)))
+
+
 def pad(data: Column) -> Column:
-    """Data with zero bytes up to its bucket; its own length is kept beside it by the caller."""
-    return F.rpad(data, padded_length(F.octet_length(data)).cast("int") - 1 - varint_length(F.octet_length(data)), F.lit(b"\x00"))
+    """A transform byte (0: as it is), the length as a varint, the data, and zero bytes up to the bucket."""
+    n = F.octet_length(data)
+    return F.rpad(F.concat(F.lit(b"\x00"), _length_prefix(n), data), padded_length(n).cast("int"), F.lit(b"\x00"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _unpad(padded: pd.Series) -> pd.Series:
+    def bucket(n: int) -> int:
+        return next((b for b in BUCKETS if n <= b), -(-n // BUCKET_STEP) * BUCKET_STEP)
+
+    def one(p: bytes | None) -> bytes | None:
+        if p is None or len(p) < 2 or p[0] != 0:
+            return None
+        n = shift = 0
+        at = 1
+        while True:
+            if at >= len(p) or shift > 56:
+                return None
+            n |= (p[at] & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if p[at - 1] < 0x80:
+                break
+        minimal = at == 2 or p[at - 1] != 0
+        fits = at + n <= len(p) and len(p) == bucket(at + n) and not any(p[at + n :])
+        return bytes(p[at : at + n]) if minimal and fits else None
+
+    return padded.map(one)
+
+
+def unpad(padded: Column) -> Column:
+    """The data of ``pad``; null where prefix, bucket or the zero bytes are not exactly those of ``pad``."""
+    return _unpad(padded)
 
 
 def human_bytes(n: Column) -> Column:
@@ -69,7 +111,15 @@ def negotiate(offered: Column, supported: int = 1) -> Column:
 
 
 def fingerprint(agent: Column) -> Column:
-    return F.concat(F.left(agent, F.lit(11)), F.lit("…"), F.right(agent, F.lit(4)))
+    """First eight and last four characters of an agent id without its prefix."""
+    bare = F.regexp_replace(agent, "^ag_", "")
+    return F.concat(F.left(bare, F.lit(8)), F.lit("…"), F.right(bare, F.lit(4)))
+
+
+def kind_list(counts: Column) -> Column:
+    """A map of counts as ``kind:n`` in kind order, kinds without any left out; ``-`` where none is left."""
+    parts = F.transform(F.filter(F.array_sort(F.map_entries(counts)), lambda e: e["value"] > 0), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise("-")
 
 
 def _base32(prefix: str):  # noqa: ANN202

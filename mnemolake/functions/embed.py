@@ -63,18 +63,11 @@ def bucket(feature: Column) -> Column:
     return _bucket(feature)
 
 
-def buckets(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, bucket, n, sign): counts add up in a bucket, the sign is that of the last feature seen in it.
+def bucket_cells(texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers that have a token, and for each cell (row place * DIMS + bucket) in use: cell, count and sign.
 
-    Each distinct feature is hashed once and joined back.
+    Counts add up in a bucket; the sign is that of the last feature seen in it.
     """
-    long = features(documents, id_col, text)
-    hashed = long.select("feature").distinct().withColumn("h", bucket(F.col("feature"))).select("feature", "h.bucket", "h.sign")
-    return long.join(hashed, "feature").groupBy(id_col, "bucket").agg(F.count("*").alias("n"), F.max_by("sign", "pos").alias("sign"))
-
-
-def embed_texts(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
-    """Row numbers that have a token, and their unit vectors; the arithmetic of each step is float32."""
     known: dict[str, int] = {}
     rows, feats, doc = [], [], []
     for i, text in enumerate(texts):
@@ -90,14 +83,38 @@ def embed_texts(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
                 feats.append(known.setdefault(w + "\0" + words[j + 1], len(known)))
                 doc.append(k)
     if not rows:
-        return [], np.zeros((0, DIMS), np.float32)
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     h = fnv1a([f.encode("utf-8", "surrogatepass") for f in known])
     f = np.array(feats)
     cell = np.array(doc) * DIMS + (h % np.uint64(DIMS)).astype(np.int64)[f]
     count = np.bincount(cell, minlength=len(rows) * DIMS)
-    sign = np.zeros(len(rows) * DIMS)
-    sign[cell] = np.where(h >> np.uint64(63), -1.0, 1.0)[f]  # later features overwrite earlier ones
-    vec = np.where(count > 0, (1 + np.log(np.maximum(count, 1))) * sign, 0.0).astype(np.float32).reshape(len(rows), DIMS)
+    sign = np.zeros(len(rows) * DIMS, np.int32)
+    sign[cell] = np.where(h >> np.uint64(63), -1, 1).astype(np.int32)[f]  # later features overwrite earlier ones
+    used = np.flatnonzero(count)
+    return rows, used, count[used], sign[used]
+
+
+def buckets(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, bucket, n, sign) of every bucket a text uses, summed where the text lies: nothing is shuffled."""
+    chosen = documents.select(id_col, text.alias("__text"))
+    kind = dict(chosen.dtypes)[id_col]
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, used, count, sign = bucket_cells(b.column(1).to_pylist())
+            if rows:
+                at = np.array(rows)[used // DIMS]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array((used % DIMS).astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(sign)], names=[id_col, "bucket", "n", "sign"])
+
+    return chosen.mapInArrow(op, f"{id_col} {kind}, bucket int, n bigint, sign int")
+
+
+def embed_texts(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+    """Row numbers that have a token, and their unit vectors; the arithmetic of each step is float32."""
+    rows, used, count, sign = bucket_cells(texts)
+    vec = np.zeros(len(rows) * DIMS, np.float32)
+    vec[used] = ((1 + np.log(count)) * sign).astype(np.float32)
+    vec = vec.reshape(len(rows), DIMS)
     inverse = (1 / np.sqrt((vec.astype(np.float64) ** 2).sum(axis=1))).astype(np.float32)
     return rows, vec * inverse[:, None]
 

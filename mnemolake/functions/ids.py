@@ -13,6 +13,11 @@ def canonical(c: Column | str) -> Column:
     return F.translate(F.upper(F.col(c) if isinstance(c, str) else c), "OIL", "011")
 
 
+def canonical_text(id: str) -> str:
+    """``canonical`` for one Python string."""
+    return id.upper().translate(str.maketrans("OIL", "011"))
+
+
 def canonical_all(c: Column | str) -> Column:
     """Canonical, distinct, non-null ids of an array; a null array is empty."""
     c = F.col(c) if isinstance(c, str) else c

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.functions.ids import canonical
 from mnemolake.schema import CLAIM_KINDS, canonical_records
 
 MAX_SIBLINGS = 4
@@ -86,7 +87,7 @@ def conflicts(records: DataFrame) -> DataFrame:
 
 def saw(context: Column, node: Column, seen: Column) -> Column:
     """Whether a causal context covers record ``seen`` of ``node``."""
-    return F.coalesce(F.upper(F.element_at(context, node)) >= seen, F.lit(False))
+    return F.coalesce(canonical(F.element_at(context, node)) >= seen, F.lit(False))
 
 
 def all_siblings(records: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -126,6 +127,11 @@ def counts_by_kind(records: DataFrame) -> DataFrame:
     return with_liveness(records, ["kind"]).groupBy("space", "kind").agg(F.count_if("live").alias("n_live"))
 
 
+def metadata(records: DataFrame) -> DataFrame:
+    """Records without body and signature, as the catalog holds them."""
+    return canonical_records(records).drop("body", "sig")
+
+
 def embed_models(records: DataFrame) -> DataFrame:
     return records.groupBy("embed_model").agg(F.count("*").alias("n"))
 

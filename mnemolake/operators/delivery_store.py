@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.functions.ids import canonical
-from mnemolake.session import CLEANUP, Scratch, _setting
+from mnemolake.session import CLEANUP, Scratch, setting
 
 
 KEYS = ("msg_id", "msg_node")
@@ -64,7 +64,7 @@ class DeliveryStore:
         run = self.keyed(deliveries).groupBy(*KEYS).agg(first).select(*KEYS, F.col("first.received_at").alias("received_at"), F.col("first.delivery_no").alias("delivery_no"))
         name = f"delivery_run_{uuid.uuid4().hex}"
         # the aggregation's own shuffle makes the buckets
-        with _setting(self.spark, CLEANUP, "true"), _setting(self.spark, "spark.sql.shuffle.partitions", str(self.buckets)):
+        with setting(self.spark, CLEANUP, "true"), setting(self.spark, "spark.sql.shuffle.partitions", str(self.buckets)):
             run.write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).option("path", self.scratch.at(name)).saveAsTable(name)
         self.runs.append(name)
 
@@ -82,7 +82,7 @@ class DeliveryStore:
         while len(self.runs) > 1:
             a, b, *rest = self.runs
             name = f"delivery_run_{uuid.uuid4().hex}"
-            with _setting(self.spark, _ORDERED, "true"), _setting(self.spark, _UNSORTED, "4"):
+            with setting(self.spark, _ORDERED, "true"), setting(self.spark, _UNSORTED, "4"):
                 run = self.merged(a, b)
                 run.write.bucketBy(self.buckets, *KEYS).option("path", self.scratch.at(name)).saveAsTable(name)
             # the files are in key order already: say so

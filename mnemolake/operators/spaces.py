@@ -62,6 +62,15 @@ def open_sealed(blob: Column, key: Column, aad: Column) -> Column:
     return F.try_aes_decrypt(blob, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
+def snapshot(keys: DataFrame) -> DataFrame:
+    """space, epochs: the keyring as one row a space, epochs in order; ``restore`` turns it back."""
+    return keys.groupBy("space").agg(F.array_sort(F.collect_set("epoch")).alias("epochs"))
+
+
+def restore(rings: DataFrame) -> DataFrame:
+    return rings.select("space", F.explode("epochs").alias("epoch"), F.array_max("epochs").alias("top")).select("space", "epoch", (F.col("epoch") == F.col("top")).alias("is_current"))
+
+
 def list_spaces(records: DataFrame, keys: DataFrame) -> DataFrame:
     """One row a space: policy, readable, records, bytes, nodes, live by kind; contents only where readable."""
     from mnemolake.operators import catalog

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.functions.ids import canonical
 from mnemolake.schema import ZERO_ID
 from mnemolake.session import Scratch
 
-BATCH = 256
+BATCH, ROUNDS = 256, 64
 MAX_RANGES = 100_000
 """Wanted ranges up to which they are broadcast: one for each author node, never for each record."""
 
@@ -35,6 +36,13 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("space", "node").agg(F.max("high").alias("high"))
 
 
+def merge_changed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``merge``, and whether ``b`` moved each mark of ``a`` on."""
+    both = a.withColumnRenamed("high", "mine").join(b.withColumnRenamed("high", "theirs"), ["space", "node"], "full")
+    high = F.greatest("mine", "theirs")
+    return both.select("space", "node", high.alias("high"), (F.col("mine").isNull() | (F.col("mine") < high)).alias("changed"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each space: a_dominates, b_dominates, equal, concurrent. Everything dominates the empty vector."""
     both = a.withColumnRenamed("high", "mine").join(b.withColumnRenamed("high", "theirs"), ["space", "node"], "full")
@@ -60,9 +68,10 @@ def delta(records: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def delta_limited(records: DataFrame, ranges: DataFrame, limit: int = BATCH) -> DataFrame:
-    """One bounded batch of a delta, filled node by node in node order, ids ascending."""
+    """One bounded batch of a delta a space, filled node by node in node order, ids ascending."""
     limit = BATCH if limit <= 0 or limit > BATCH else limit
-    return delta(records, ranges).orderBy("space", "author_node", "id").limit(limit)
+    order = W.partitionBy("space").orderBy("author_node", "id")
+    return delta(records, ranges).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
 
 def common_spaces(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -84,17 +93,19 @@ def set_missing(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return theirs.withColumn("id", canonical("id")).join(held, ["space", "id"], "left_anti")
 
 
-def exchange(local: DataFrame, peer: DataFrame, rounds: int = 64, batch: int | None = None) -> DataFrame:
+def exchange(local: DataFrame, peer: DataFrame, rounds: int = ROUNDS, batch: int | None = None) -> DataFrame:
     """``local`` after pulling from ``peer``. Unbounded, one job does; with ``batch``, rounds of at most
-    that many records a space, until nothing is missing or a batch comes back empty."""
+    that many records a space, until no space has a gap or a round comes back empty."""
     if batch is None:
         got = delta(peer, missing_ranges(version_vector(local), version_vector(peer)))
         return local.withColumn("id", canonical("id")).unionByName(set_missing(local, got))
     scratch = Scratch(local.sparkSession, "exchange")
-    held = local.withColumn("id", canonical("id"))
+    held, known = local.withColumn("id", canonical("id")), scratch.write(version_vector(local), "marks")
+    theirs = scratch.write(version_vector(peer), "theirs")
     for k in range(rounds):
-        got = scratch.write(set_missing(held, delta_limited(peer, missing_ranges(version_vector(held), version_vector(peer)), batch)), f"round{k}")
+        got = scratch.write(set_missing(held, delta_limited(peer, missing_ranges(known, theirs), batch)), f"round{k}")
         if got.isEmpty():
             break
         held = held.unionByName(got)
+        known = scratch.write(merge(known, version_vector(got)), f"marks{k}")
     return held

@@ -52,8 +52,16 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return current_entries(table(spark, root, "changes"))
 
 
+IMAGE = ("kind", "author_node", "author_agent", "author_model", "evidence", "embed_model", "bytes")
+
+
+def p6_state(spark: SparkSession, root: str) -> DataFrame:
+    """The rebuilt table itself: every live entry with the content of its current record."""
+    return current_entries(table(spark, root, "changes"), image=IMAGE)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_kept, p5_found, hierarchy_fragments, p5_paths, p5_descendants, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_kept, p5_found, hierarchy_fragments, p5_paths, p5_descendants, p6_found, p6_state)}
 
 
 _P2 = f"""
@@ -91,4 +99,9 @@ WITH c AS (SELECT space, {CANON.format('id')} AS id, hlc.wall AS wall, hlc.count
 e AS (SELECT space, unnest(CASE WHEN len(named) = 0 THEN [id] ELSE named END) AS entry_id, id, wall, counter, kind FROM c),
 l AS (SELECT *, row_number() OVER (PARTITION BY space, entry_id ORDER BY wall DESC, counter DESC, id DESC) AS rn FROM e)
 SELECT space, entry_id, id AS current_id FROM l WHERE rn = 1 AND kind NOT IN ('tombstone', 'retraction')""",
+        "p6_state": f"""
+WITH c AS (SELECT * REPLACE ({CANON.format('id')} AS id), {IDS.format('supersedes')} AS named FROM changes),
+e AS (SELECT *, unnest(CASE WHEN len(named) = 0 THEN [id] ELSE named END) AS entry_id FROM c),
+l AS (SELECT *, row_number() OVER (PARTITION BY space, entry_id ORDER BY hlc.wall DESC, hlc.counter DESC, id DESC, {', '.join(f'{c} DESC NULLS LAST' for c in IMAGE)}) AS rn FROM e)
+SELECT space, entry_id, id AS current_id, {', '.join(IMAGE)} FROM l WHERE rn = 1 AND kind NOT IN ('tombstone', 'retraction')""",
     }

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import cache
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +14,11 @@ from mnemolake.functions.ids import canonical, canonical_all, ulid_millis
 from mnemolake.functions.text import tokens
 from mnemolake.operators import catalog, recall, reports, spaces, vector_index
 from mnemolake.operators import version_vectors as vv
-from mnemolake.session import Scratch
+from mnemolake.session import Scratch, setting
 from mnemolake.sources import store
 from mnemolake.sources.tables import table
 from mnemolake.streaming import ingest as streaming
+from mnemolake.streaming.mesh import Mesh
 
 QUERY = "the nightly replica sweep dropped the checksum of a manifest"
 CANON = "translate(upper({0}), 'OIL', '011')"
@@ -100,16 +99,11 @@ def size_buckets(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root).select("id", display.padded_length(F.col("bytes")).alias("bucket"))
 
 
-@query("SELECT id, CASE WHEN bytes < 1024 THEN bytes || 'B' ELSE printf('%.1fKB', bytes / 1024.0) END AS size FROM records WHERE bytes < 1048576")
-def human_sizes(spark: SparkSession, root: str) -> DataFrame:
-    return _records(spark, root).where(F.col("bytes") < 1048576).select("id", display.human_bytes(F.col("bytes")).alias("size"))
-
-
 _UNITS = " ".join(f"WHEN bytes < {1024 ** (k + 1)} THEN printf('%.1f{u}', bytes / {1024**k}.0)" for k, u in enumerate(display.UNITS[:-1], 1))
 
 
 @query(f"SELECT id, CASE WHEN bytes < 1024 THEN bytes || 'B' {_UNITS} WHEN bytes IS NOT NULL THEN printf('%.1f{display.UNITS[-1]}', bytes / {1024 ** len(display.UNITS)}.0) END AS size FROM records")
-def human_sizes_all(spark: SparkSession, root: str) -> DataFrame:
+def human_sizes(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root).select("id", display.human_bytes(F.col("bytes")).alias("size"))
 
 
@@ -118,6 +112,53 @@ def id_times(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root).select("id", clock.hlc_text().alias("clock"), ulid_millis(F.col("id")).alias("id_millis"))
 
 
+_AGE = "(bytes * 137 - 5000)"
+
+
+@query(f"SELECT id, CASE WHEN s < 0 THEN 'never' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' || s % 60 || 's' WHEN s < 86400 THEN s // 3600 || 'h' || (s % 3600) // 60 || 'm' ELSE s // 86400 || 'd' || (s % 86400) // 3600 || 'h' END AS duration FROM (SELECT id, {_AGE} AS s FROM records)")
+def human_durations(spark: SparkSession, root: str) -> DataFrame:
+    return _records(spark, root).select("id", display.human_duration(F.col("bytes") * 137 - 5000).alias("duration"))
+
+
+@query(f"SELECT id, strlen(b) AS n, b AS data, CASE WHEN p <= 256 THEN 256 WHEN p <= 1024 THEN 1024 WHEN p <= 4096 THEN 4096 WHEN p <= 16384 THEN 16384 WHEN p <= 65536 THEN 65536 ELSE ((p + 65535) // 65536) * 65536 END AS padded, false AS torn FROM (SELECT id, b, strlen(b) + 1 + CASE WHEN strlen(b) < 128 THEN 1 WHEN strlen(b) < 16384 THEN 2 WHEN strlen(b) < 2097152 THEN 3 ELSE 4 END AS p FROM (SELECT id, coalesce(body, '') AS b FROM records))")
+def padded_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """Every body padded and taken out again; with one more byte it is no bucket and does not come out."""
+    rows = _records(spark, root).select("id", F.coalesce("body", F.lit("")).cast("binary").alias("b")).withColumn("p", display.pad(F.col("b")))
+    torn = F.concat("p", F.lit(b"\x00"))
+    return rows.select("id", F.octet_length("b").cast("bigint").alias("n"), display.unpad(F.col("p")).cast("string").alias("data"), F.octet_length("p").cast("bigint").alias("padded"), display.unpad(torn).isNotNull().alias("torn"))
+
+
+_BITS = "array_to_string(list_transform(range(1, 65), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', (strpos('0123456789abcdef', substr(h, i::INT, 1)) - 1)::INT * 4 + 1, 4)), '') || '0000'"
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT author_agent, sha256(author_agent) AS h FROM records WHERE author_agent IS NOT NULL), b AS (SELECT author_agent, {_BITS} AS bits FROM a),
+t AS (SELECT author_agent, array_to_string(list_transform(range(0, 52), lambda k: substr('abcdefghijklmnopqrstuvwxyz234567', (list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(bits, (5 * k + j)::INT, 1) = '1' THEN 2 ** (5 - j) ELSE 0 END)) + 1)::INT, 1)), '') AS txt FROM b)
+SELECT author_agent, 'ag_' || txt AS agent_text, 'rk_' || txt AS recipient_text, left(txt, 8) || '…' || right(txt, 4) AS fingerprint, true AS same FROM t"""
+)
+def agent_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Id texts of 32-byte keys, their fingerprints, and the way back."""
+    keys = _records(spark, root).where(F.col("author_agent").isNotNull()).select("author_agent").distinct().withColumn("key", F.unhex(F.sha2("author_agent", 256)))
+    texts = keys.withColumn("agent_text", display.agent_text(F.col("key"))).withColumn("recipient_text", display.recipient_text(F.col("key")))
+    same = (display.parse_key(F.col("agent_text")) == F.col("key")) & (display.parse_key(F.col("recipient_text")) == F.col("key"))
+    return texts.select("author_agent", "agent_text", "recipient_text", display.fingerprint(F.col("agent_text")).alias("fingerprint"), same.alias("same"))
+
+
+@query("SELECT DISTINCT space, split_part(space, '/', 1) IN ('agent', 'user') AS auto_resolves, split_part(space, '/', 1) <> 'agent' AS keeps_siblings, split_part(replace(space, '/', '__'), '__', 1) || '/' || substr(replace(space, '/', '__'), strpos(replace(space, '/', '__'), '__') + 2) AS back FROM records")
+def space_rules(spark: SparkSession, root: str) -> DataFrame:
+    return _records(spark, root).select("space").distinct().select("space", schema.auto_resolves("space").alias("auto_resolves"), schema.keeps_siblings("space").alias("keeps_siblings"), store.folder_to_space(store.space_to_folder(F.col("space"))).alias("back"))
+
+
+@query("SELECT DISTINCT author_agent, CASE WHEN trim(coalesce(author_agent, '')) = '' THEN 'default' ELSE author_agent END AS name, regexp_full_match(coalesce(author_agent, ''), '[A-Za-z0-9._-]{1,64}') AND author_agent NOT IN ('.', '..') AS valid FROM records WHERE author_agent IS NOT NULL")
+def agent_names(spark: SparkSession, root: str) -> DataFrame:
+    return _records(spark, root).where(F.col("author_agent").isNotNull()).select("author_agent").distinct().select("author_agent", schema.agent_or_default(F.col("author_agent")).alias("name"), schema.agent_name_valid(F.col("author_agent")).alias("valid"))
+
+
+@query(f"SELECT {CANON.format('id')} AS id, space, kind, embed_model, bytes FROM records")
+def metadata(spark: SparkSession, root: str) -> DataFrame:
+    return catalog.metadata(_records(spark, root)).select("id", "space", "kind", "embed_model", "bytes")
+
+
 # --- edges and liveness
 
 
@@ -165,7 +206,7 @@ _SIBLINGS = f"""
 WITH {R}, {D}, c AS (SELECT space, cid AS via, hlc, rf, unnest(rf) AS id FROM r WHERE kind = 'conflict' AND len(rf) > 1),
 m AS (SELECT h.space, h.cid AS id, h.author_node, c.via, c.hlc, unnest(c.rf) AS sibling FROM r h JOIN c ON c.space = h.space AND c.id = h.cid WHERE h.kind IN ('fact', 'procedure')),
 o AS (SELECT * FROM m WHERE sibling <> id QUALIFY row_number() OVER (PARTITION BY space, id, sibling ORDER BY hlc.wall DESC, hlc.counter DESC, via DESC) = 1),
-s AS (SELECT o.space, o.id, o.sibling, o.via, CAST(row_number() OVER (PARTITION BY o.space, o.id ORDER BY o.hlc.wall DESC, o.hlc.counter DESC, o.via DESC, o.sibling) AS INT) AS rn, coalesce(upper(x.causal_ctx[o.author_node]) >= o.id, false) AS saw_this_claim, x.evidence, count(*) OVER (PARTITION BY o.space, o.id) AS n
+s AS (SELECT o.space, o.id, o.sibling, o.via, CAST(row_number() OVER (PARTITION BY o.space, o.id ORDER BY o.hlc.wall DESC, o.hlc.counter DESC, o.via DESC, o.sibling) AS INT) AS rn, coalesce({CANON.format('x.causal_ctx[o.author_node]')} >= o.id, false) AS saw_this_claim, x.evidence, count(*) OVER (PARTITION BY o.space, o.id) AS n
  FROM o JOIN r x ON x.space = o.space AND x.cid = o.sibling WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.space = o.space AND d.id = o.sibling))
 """
 
@@ -300,7 +341,7 @@ def delta_fetch(spark: SparkSession, root: str) -> DataFrame:
     return vv.delta(theirs, vv.missing_ranges(vv.version_vector(mine), vv.version_vector(theirs))).select("space", "id")
 
 
-@query(f"WITH {REPLICA}, {VV}, {_RANGES} SELECT p.space, {CANON.format('p.id')} AS id FROM records p JOIN g ON g.space = p.space AND g.node = p.author_node WHERE {CANON.format('p.id')} > after_id AND {CANON.format('p.id')} <= through_id ORDER BY p.space, p.author_node, 2 LIMIT 256")
+@query(f"WITH {REPLICA}, {VV}, {_RANGES} SELECT p.space, {CANON.format('p.id')} AS id FROM records p JOIN g ON g.space = p.space AND g.node = p.author_node WHERE {CANON.format('p.id')} > after_id AND {CANON.format('p.id')} <= through_id QUALIFY row_number() OVER (PARTITION BY p.space ORDER BY p.author_node, {CANON.format('p.id')}) <= 256")
 def delta_fetch_limited(spark: SparkSession, root: str) -> DataFrame:
     mine, theirs = _both(spark, root)
     return vv.delta_limited(theirs, vv.missing_ranges(vv.version_vector(mine), vv.version_vector(theirs))).select("space", "id")
@@ -332,6 +373,50 @@ def exchange(spark: SparkSession, root: str) -> DataFrame:
     return vv.exchange(mine, theirs).groupBy("space").agg(F.count("*").alias("n"))
 
 
+@query(_SQL["exchange"])
+def exchange_bounded(spark: SparkSession, root: str) -> DataFrame:
+    """The same in rounds of at most 256 records a space."""
+    mine, theirs = _both(spark, root)
+    return vv.exchange(mine, theirs, batch=vv.BATCH).groupBy("space").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {REPLICA}, {VV} SELECT coalesce(vl.space, vp.space) AS space, coalesce(vl.node, vp.node) AS node, greatest(vl.high, vp.high) AS high, vl.high IS NULL OR vl.high < greatest(vl.high, vp.high) AS changed FROM vl FULL JOIN vp ON vl.space = vp.space AND vl.node = vp.node")
+def vector_merge_changed(spark: SparkSession, root: str) -> DataFrame:
+    mine, theirs = _both(spark, root)
+    return vv.merge_changed(vv.version_vector(mine), vv.version_vector(theirs))
+
+
+def _mesh(spark: SparkSession, root: str) -> Mesh:
+    """Two stores: ``a`` lacks what the replica lacks, ``b`` holds everything."""
+    scratch = Scratch(spark, "mesh")
+    stores = {n: store.RecordStore(spark, scratch.at(n)) for n in ("a", "b", "c")}
+    mine, theirs = _both(spark, root)
+    stores["a"].append(mine)
+    stores["b"].append(theirs)
+    return Mesh(spark, stores)
+
+
+@query(f"WITH {REPLICA}, {VV}, {_RANGES} SELECT 'b' AS peer, count(*) AS pulled, NULL AS error FROM records p JOIN g ON g.space = p.space AND g.node = p.author_node WHERE {CANON.format('p.id')} > after_id AND {CANON.format('p.id')} <= through_id UNION ALL SELECT 'c', 0, 'offline'")
+def sync_report(spark: SparkSession, root: str) -> DataFrame:
+    """A forced round of a node with two peers, one of them cut off."""
+    mesh = _mesh(spark, root)
+    mesh.cut("a", "c")
+    return mesh.sync_now("a").select("peer", "pulled", "error")
+
+
+@query(f"SELECT node, space, author_node, max({CANON.format('id')}) AS high, count(*) AS n FROM records, (VALUES ('b'), ('c')) AS t(node) GROUP BY ALL")
+def convergence(spark: SparkSession, root: str) -> DataFrame:
+    """A node that held nothing, and one that was cut off from it at first, have the same records and marks in the end."""
+    mesh = _mesh(spark, root)
+    mesh.cut("c", "b")
+    mesh.pull("c", "a")
+    mesh.heal()
+    mesh.stores["c"].append(vv.set_missing(mesh.stores["c"].read(), mesh.stores["b"].read()))  # marks leave holes, exact reconciliation none
+    mesh.pull("b", "c")
+    held = [mesh.stores[n].read().withColumn("node", F.lit(n)) for n in ("b", "c")]
+    return held[0].unionByName(held[1]).groupBy("node", "space", "author_node").agg(F.max("id").alias("high"), F.count("*").alias("n"))
+
+
 # --- store
 
 
@@ -352,6 +437,38 @@ def idempotent_append(spark: SparkSession, root: str) -> DataFrame:
     return store.new_rows(mine, theirs.unionByName(theirs)).select("space", "id")
 
 
+@query("SELECT id, space, true AS held FROM records WHERE id = (SELECT max(id) FROM records)")
+def point_lookup(spark: SparkSession, root: str) -> DataFrame:
+    """The newest record by the lower-case spelling of its id, and whether it is held."""
+    records = _records(spark, root)
+    last = records.agg(F.max("id")).first()[0] or ""
+    return store.point_lookup(records, last.lower()).select("id", "space", store.exists(records, last.lower()).scalar().alias("held"))
+
+
+@query("SELECT space, count(*) AS n, 1::BIGINT AS segments FROM records GROUP BY ALL")
+def store_compacted(spark: SparkSession, root: str) -> DataFrame:
+    """A store written in four appends, compacted to one file a space."""
+    held = store.RecordStore(spark, Scratch(spark, "compacted").at("store"))
+    for k in range(4):
+        held.append(_records(spark, root).where(F.pmod(F.col("hlc.wall"), F.lit(4)) == k))
+    held.compact(most_files=1)
+    return held.read().groupBy("space").agg(F.count("*").alias("n")).join(held.segments(), "space")
+
+
+@query(f"SELECT DISTINCT space, {CANON.format('id')} AS id FROM deliveries WHERE id IS NOT NULL AND space IS NOT NULL")
+def relay_sealed(spark: SparkSession, root: str) -> DataFrame:
+    """Sealed entries taken unread, twice over: each (space, id) is kept once."""
+    held = store.RecordStore(spark, Scratch(spark, "relay").at("store"))
+    for _ in range(2):
+        held.accept_sealed(table(spark, root, "deliveries"))
+    return held.sealed().select("space", "id")
+
+
+@query("SELECT space, epoch, epoch = max(epoch) OVER (PARTITION BY space) AS is_current FROM (SELECT DISTINCT space, epoch FROM space_keys)")
+def keyring_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return spaces.restore(spaces.snapshot(table(spark, root, "space_keys")))
+
+
 # --- embedding, index, recall
 
 TOK = rf"list_filter(regexp_split_to_array(lower({{0}}), '[^\p{{{{L}}}}\p{{{{N}}}}_]+'), lambda x: strlen(x) > 1 OR regexp_full_match(x, '\p{{{{N}}}}+'))"
@@ -399,40 +516,19 @@ _Q8 = "list_transform({0}, lambda x: CAST(round(greatest(-127.0, least(127.0, CA
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: {2}))"
 
 
-def _query_embedding(spark: SparkSession, root: str) -> np.ndarray:
-    row = table(spark, root, "embeddings").where(F.col("vec_id") == 0).select("embedding").first()
-    return np.array(row[0], np.float32)
-
-
-_TOPK = f"""WITH q AS (SELECT embedding AS e, {_Q8.format('embedding')} AS e8 FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, CAST({_DOT.format(_Q8.format('embedding'), 'q.e8', 'p[1] * p[2]')} AS INT) AS q_dot, {_DOT.format('embedding', 'q.e', 'CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)')} AS dot FROM embeddings, q),
-c AS (SELECT * FROM s ORDER BY q_dot DESC, vec_id LIMIT 32) """
-
-
-@query(_TOPK + "SELECT vec_id, q_dot FROM c")
-def vector_topk_int8(spark: SparkSession, root: str) -> DataFrame:
-    s = vector_index.scored(table(spark, root, "embeddings"), "embedding", _query_embedding(spark, root), ["vec_id"])
-    return s.orderBy(F.desc("q_dot"), "vec_id").limit(vector_index.pool(8)).select("vec_id", "q_dot")
-
-
-@query(_TOPK + "SELECT vec_id, round(dot, 4) AS score FROM c ORDER BY dot DESC, vec_id LIMIT 8")
-def vector_topk_rerank(spark: SparkSession, root: str) -> DataFrame:
-    return vector_index.top_k(table(spark, root, "embeddings"), "embedding", _query_embedding(spark, root), 8, "vec_id").select("vec_id", F.round("dot", 4).alias("score"))
-
-
 _TOPK_ALL = f"""WITH e AS (SELECT vec_id, embedding AS v, {_Q8.format('embedding')} AS v8 FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST({_DOT.format('e.v8', 'q.v8', 'p[1] * p[2]')} AS INT) AS q_dot, {_DOT.format('e.v', 'q.v', 'CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)')} AS dot FROM e, e q WHERE q.vec_id % 50 = 0),
 c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY q_dot DESC, vec_id) <= 32) """
 
 
 @query(_TOPK_ALL + "SELECT query_id, vec_id, q_dot FROM c")
-def vector_search_int8(spark: SparkSession, root: str) -> DataFrame:
+def vector_topk_int8(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "embeddings")
     return vector_index.pooled_by_query(e, "embedding", e.where(F.col("vec_id") % 50 == 0), 8, "vec_id").select("query_id", "vec_id", "q_dot")
 
 
 @query(_TOPK_ALL + "SELECT query_id, vec_id, round(dot, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) <= 8")
-def vector_search_rerank(spark: SparkSession, root: str) -> DataFrame:
+def vector_topk_rerank(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "embeddings")
     return vector_index.top_k_by_query(e, "embedding", e.where(F.col("vec_id") % 50 == 0), 8, "vec_id").select("query_id", "vec_id", F.round("dot", 4).alias("score"))
 
@@ -479,11 +575,73 @@ def recall_min_score(spark: SparkSession, root: str) -> DataFrame:
     return _recall(spark, root, min_score=0.3)
 
 
-@query(None)
+@cache
+def _kept_index(spark: SparkSession, app: str, root: str) -> vector_index.VectorIndex:
+    """The index of a folder's records, written once an application and read by every search."""
+    index = vector_index.VectorIndex(spark, Scratch(spark, "index").at("vectors"))
+    index.warm(table(spark, root, "records"))
+    return index
+
+
+def _index(spark: SparkSession, root: str) -> vector_index.VectorIndex:
+    return _kept_index(spark, spark.sparkContext.applicationId, root)
+
+
+@query(_recall_sql(""))
+def recall_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """``recall_basic`` on a kept index: the codes are scanned, vectors are fetched for the candidates only."""
+    return _recall(spark, root, index=_index(spark, root))
+
+
+@query("SELECT count(*) AS vectors, count(*) * (384 + 16 + 24) AS resident_bytes FROM (SELECT id FROM records WHERE kind NOT IN ('tombstone', 'conflict') AND len(" + tok("concat_ws(' ', coalesce(body, ''), array_to_string(tags, ' '))") + ") > 0)")
+def index_totals(spark: SparkSession, root: str) -> DataFrame:
+    return _index(spark, root).totals()
+
+
+_HITS = _recall_sql("", "")
+_ANNOTATED = f"""WITH h AS (SELECT * FROM ({_HITS})), b AS (SELECT * FROM ({_SQL["superseded_by"]})), t AS (SELECT space, id, array_to_string(list(reason ORDER BY position), '|') AS retractions FROM ({_SQL["retractions"]}) GROUP BY ALL),
+g AS (SELECT space, id, array_to_string(list(sibling || '<' || via || '<' || saw_this_claim || '<' || evidence ORDER BY rn), '|') AS siblings, any_value(more) AS more FROM ({_SQL["siblings"]}) GROUP BY ALL),
+f AS (SELECT h.space, h.id, h.kind, h.score, h.superseded, superseded_by, retractions, siblings, coalesce(more, 0) AS more_siblings FROM h LEFT JOIN b USING (space, id) LEFT JOIN t USING (space, id) LEFT JOIN g USING (space, id))"""
+
+
+def _annotated(spark: SparkSession, root: str) -> DataFrame:
+    records = _records(spark, root)
+    return recall.annotated(records, recall.recall(records, QUERY, include_superseded=True, index=_index(spark, root)))
+
+
+@query(_ANNOTATED + " SELECT * FROM f")
 def recall_annotated(spark: SparkSession, root: str) -> DataFrame:
+    side = lambda e: F.concat_ws("<", e["sibling"], e["via"], e["saw_this_claim"].cast("string"), e["evidence"])
+    return _annotated(spark, root).select("space", "id", "kind", F.round("score", 4).alias("score"), "superseded", F.array_join("superseded_by", ",").alias("superseded_by"), F.array_join("retractions", "|").alias("retractions"), F.array_join(F.transform("siblings", side), "|").alias("siblings"), "more_siblings")
+
+
+@query(
+    _ANNOTATED
+    + f""", e AS (SELECT DISTINCT embed_model AS m FROM records)
+SELECT 'the index is not complete yet; results may be missing' AS warning UNION ALL SELECT 'records embedded by other models are held: ' || array_to_string(list(m ORDER BY m) FILTER (m <> '{embed.MODEL}'), ', ') FROM e HAVING count(*) > 1
+UNION ALL SELECT * FROM (SELECT 'record ' || id || ' has ' || more_siblings || ' further contradicting siblings' FROM f WHERE more_siblings > 0 ORDER BY score DESC, id LIMIT 1)"""
+)
+def recall_warnings(spark: SparkSession, root: str) -> DataFrame:
+    return recall.warnings(_records(spark, root), _annotated(spark, root), warm=False)
+
+
+@query(
+    """WITH asked AS (SELECT DISTINCT space FROM records UNION SELECT DISTINCT space FROM space_keys)
+SELECT space, CASE WHEN space NOT IN (SELECT space FROM records) THEN 'not held' WHEN space NOT IN (SELECT space FROM space_keys) THEN 'relayed' WHEN space NOT IN (SELECT space FROM ix) THEN 'not indexed' END AS reason
+FROM asked, (SELECT 1) WHERE reason IS NOT NULL""".replace("WITH asked", "WITH ix AS (SELECT DISTINCT space FROM records WHERE kind NOT IN ('tombstone', 'conflict') AND len(" + tok("concat_ws(' ', coalesce(body, ''), array_to_string(tags, ' '))") + ") > 0), asked")
+)
+def recall_skipped(spark: SparkSession, root: str) -> DataFrame:
     records = _records(spark, root)
-    hits = recall.recall(records, QUERY, include_superseded=True)
-    return recall.annotated(records, Scratch(spark, "hits").write(hits, "hits"))
+    asked = records.select("space").union(table(spark, root, "space_keys").select("space")).distinct()
+    return recall.skipped_spaces(asked, records, table(spark, root, "space_keys"), _index(spark, root).read())
+
+
+@query("SELECT a.vec_id AS vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 50")
+def vector_cosine(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector against the last one before it whose id is divisible by 50."""
+    e = table(spark, root, "embeddings")
+    heads = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("head"), F.col("embedding").alias("other"))
+    return e.withColumn("head", F.col("vec_id") - F.col("vec_id") % 50).join(heads, "head").select("vec_id", F.round(embed.dot(F.col("embedding"), F.col("other")), 4).alias("cosine"))
 
 
 # --- reports
@@ -529,6 +687,46 @@ def status(spark: SparkSession, root: str) -> DataFrame:
     return reports.status(_records(spark, root), table(spark, root, "peers"), table(spark, root, "space_keys"))
 
 
+@query("SELECT node AS name, key, count(r.author_agent) AS n FROM (SELECT node, unnest(agent_keys) AS key FROM peers) p LEFT JOIN records r ON r.author_agent = p.key GROUP BY ALL")
+def agent_records(spark: SparkSession, root: str) -> DataFrame:
+    names = table(spark, root, "peers").select(F.col("node").alias("name"), F.explode("agent_keys").alias("key"))
+    return reports.agent_records(names, _records(spark, root))
+
+
+@query("SELECT coalesce(d.node, p.node) AS node, coalesce(nullif(p.address, ''), d.address) AS address FROM (SELECT DISTINCT author_node AS node, 'host-' || author_node AS address FROM records WHERE author_node IS NOT NULL) d FULL JOIN peers p ON p.node = d.node")
+def known_peers(spark: SparkSession, root: str) -> DataFrame:
+    found = _records(spark, root).where(F.col("author_node").isNotNull()).select("author_node").distinct().select(F.col("author_node").alias("node"), F.concat(F.lit("host-"), "author_node").alias("address"))
+    return reports.known_peers(found, table(spark, root, "peers"))
+
+
+@query("SELECT regexp_replace(h, '[^A-Za-z0-9._-]', '-', 'g') AS node, a AS address, t AS transport, online FROM (SELECT CASE WHEN enrolled THEN node || ' x' ELSE split_part(node || '.net.example', '.', 1) END AS h, address AS a, CASE WHEN coalesce(transport, '') = 'direct' THEN 'direct' ELSE 'derp' END AS t, last_contact IS NOT NULL AS online FROM peers WHERE enrolled IS NOT NULL AND address IS NOT NULL AND node LIKE '%n%')")
+def discovered_peers(spark: SparkSession, root: str) -> DataFrame:
+    hosts = table(spark, root, "peers").where(F.col("enrolled").isNotNull()).select(
+        F.when(F.col("enrolled"), F.concat("node", F.lit(" x"))).otherwise("").alias("hostname"), F.concat("node", F.lit(".net.example")).alias("dns_name"), F.array_compact(F.array("address")).alias("ips"),
+        F.when(F.contains("node", F.lit("n")), F.array(F.lit("tag:mesh"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.col("last_contact").isNotNull().alias("online"), F.when(F.col("transport") == "direct", "1.2.3.4:5").alias("cur_addr"),
+    )
+    return reports.discovered_peers(hosts, "tag:mesh")
+
+
+@query("SELECT least(3, count(*)) AS picked, least(3, count(*)) AS known FROM peers")
+def picked_peers(spark: SparkSession, root: str) -> DataFrame:
+    """How many of the peers a push picks, and how many of those are peers at all."""
+    peers = table(spark, root, "peers")
+    chosen = Scratch(spark, "picked").write(reports.pick_peers(peers.select("node"), 3), "picked")
+    return chosen.agg(F.count("*").alias("picked")).select("picked", chosen.join(peers.select("node"), "node", "left_semi").agg(F.count("*")).scalar().alias("known"))
+
+
+@query("SELECT node, list_max(list_filter([epoch_ms(as_of) % 3, coalesce(clock_skew_ms, 0) % 4, 7], lambda v: v BETWEEN 1 AND 1)) AS version FROM peers")
+def negotiated(spark: SparkSession, root: str) -> DataFrame:
+    offered = F.array(F.unix_millis(F.col("as_of").cast("timestamp")) % 3, F.coalesce("clock_skew_ms", F.lit(0)) % 4, F.lit(7).cast("bigint"))
+    return table(spark, root, "peers").select("node", display.negotiate(offered).alias("version"))
+
+
+@query("SELECT exit FROM (SELECT max(CASE severity WHEN 'warn' THEN 1 WHEN 'critical' THEN 2 ELSE 0 END) AS exit FROM (" + _SQL["health"] + "))")
+def health_exit(spark: SparkSession, root: str) -> DataFrame:
+    return reports.health_exit(reports.health(_records(spark, root), table(spark, root, "peers"), table(spark, root, "space_keys")))
+
+
 # --- streams drained with availableNow and read back
 
 
@@ -558,11 +756,30 @@ def stream_version_vector(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{out}/*").groupBy("space", "node").agg(F.max("high").alias("high"))
 
 
-@query(None)
+_CLOCK = f"""WITH RECURSIVE e AS (SELECT author_node, hlc.wall AS w, hlc.counter AS c, epoch_us(received_at) // 1000 AS now, row_number() OVER (PARTITION BY author_node ORDER BY received_at, id) AS k FROM records),
+f AS (SELECT author_node, 0::BIGINT AS k, 0::BIGINT AS wall, 0::BIGINT AS counter FROM (SELECT DISTINCT author_node FROM e) UNION ALL
+ SELECT e.author_node, e.k, greatest(f.wall, w, now), CASE WHEN greatest(f.wall, w, now) = f.wall AND f.wall = w THEN greatest(f.counter, c) + 1 WHEN greatest(f.wall, w, now) = f.wall THEN f.counter + 1 WHEN greatest(f.wall, w, now) = w THEN c + 1 ELSE 0 END
+ FROM f JOIN e ON e.author_node = f.author_node AND e.k = f.k + 1)
+SELECT author_node, wall, counter FROM f QUALIFY row_number() OVER (PARTITION BY author_node ORDER BY k DESC) = 1"""
+
+
+@query(_CLOCK)
 def hlc_fold(spark: SparkSession, root: str) -> DataFrame:
     return clock.hlc_fold(_records(spark, root))
 
 
+@query(_CLOCK.replace("SELECT author_node, wall", "SELECT author_node AS node, wall"))
+def stream_clocks(spark: SparkSession, root: str) -> DataFrame:
+    """The clocks after one drained micro-batch, each node's records in order of arrival."""
+    scratch = Scratch(spark, "clocks")
+    source, out = scratch.at("source"), scratch.at("out")
+    _records(spark, root).coalesce(1).sortWithinPartitions("received_at", "id").write.parquet(source)
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        stream = streaming.clock_stream(streaming.record_stream(spark, source))
+        stream.writeStream.outputMode("update").foreachBatch(lambda b, k: b.write.mode("append").parquet(out)).option("checkpointLocation", scratch.at("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("node").agg(F.max(F.struct("wall", "counter")).alias("m")).select("node", "m.wall", "m.counter")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -57,6 +57,16 @@ def policy(c: Column | str) -> Column:
     return out
 
 
+def auto_resolves(c: Column | str) -> Column:
+    """Whether the space's policy resolves contradictions by itself."""
+    return policy(c) != OTHER_POLICY
+
+
+def keeps_siblings(c: Column | str) -> Column:
+    """Whether contradicting records of the space stay side by side."""
+    return policy(c) != POLICIES["agent"]
+
+
 def evidence_rank(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     out = F.lit(0)

@@ -74,7 +74,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     try:
         spark.conf.set(key, value)
@@ -128,7 +128,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
         """Write ``df`` and return the table read back. Shuffle files of the write are freed with it."""
-        with _setting(self.spark, CLEANUP, "true"):
+        with setting(self.spark, CLEANUP, "true"):
             df.write.mode(mode).parquet(self.at(name))
         return self.read(name, df)
 
@@ -140,7 +140,7 @@ class Scratch:
         """
         buckets = min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
         self.tables[name] = known = f"{name}_{uuid.uuid4().hex}"
-        with _setting(self.spark, CLEANUP, "true"), _setting(self.spark, "spark.sql.shuffle.partitions", str(buckets)):
+        with setting(self.spark, CLEANUP, "true"), setting(self.spark, "spark.sql.shuffle.partitions", str(buckets)):
             df.write.bucketBy(buckets, key).sortBy(key).option("path", self.at(name)).saveAsTable(known)
         return self.spark.table(known)
 

@@ -35,7 +35,6 @@ def ingest(stream: DataFrame, store: RecordStore, checkpoint: str, hook: Callabl
         fresh = store.append(batch)
         if hook is not None and not fresh.isEmpty():
             hook(fresh)
-        fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -82,6 +81,6 @@ def push(stream: DataFrame, targets: list[RecordStore], checkpoint: str) -> Stre
 
     def write(batch: DataFrame, _: int) -> None:
         for t in targets:
-            t.append(batch).unpersist()
+            t.append(batch)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from mnemolake.operators.delivery_store import DeliveryStore, exactly_once, repe
 from mnemolake.operators.hierarchy import contract, descendants, hierarchy
 from mnemolake.operators.orphans import orphan_counts, orphan_references
 from mnemolake.schema import RECORD
-from mnemolake.session import _setting
+from mnemolake.session import setting
 
 
 def ident(i):
@@ -90,7 +90,7 @@ def test_upsert_is_idempotent_and_runs_merge_in_order(spark):
     once.upsert(d)
     for part in (d.where("delivery_no % 2 = 0"), d, d.where("delivery_no % 2 = 1"), d):
         twice.upsert(part)
-    with _setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+    with setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
         plan = twice.merged(*twice.runs[:2])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     assert rows(once.compact()) == rows(twice.compact())

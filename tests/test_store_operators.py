@@ -87,9 +87,9 @@ def test_human_sizes_cover_every_record(make, tmp_path):
     sizes = [0, 5, 1023, 1024, 1280, 1536, 3 << 20, 1 << 30, 5 << 40, 7 << 50, 3 << 60, None]
     r = make([{"bytes": n} for n in sizes]).select("id", "bytes")
     r.write.parquet(f"{tmp_path}/records.parquet")
-    got = sorted(map(tuple, entry.queries()["human_sizes_all"](r.sparkSession, str(tmp_path)).collect()))
+    got = sorted(map(tuple, entry.queries()["human_sizes"](r.sparkSession, str(tmp_path)).collect()))
     assert [s for _, s in got] == ["0B", "5B", "1023B", "1.0KB", "1.2KB", "1.5KB", "3.0MB", "1.0GB", "5.0TB", "7.0PB", "3072.0PB", None]
-    sql = entry.oracle_sql()["human_sizes_all"].replace("FROM records", f"FROM '{tmp_path}/records.parquet/*.parquet'")
+    sql = entry.oracle_sql()["human_sizes"].replace("FROM records", f"FROM '{tmp_path}/records.parquet/*.parquet'")
     assert sorted(duckdb.sql(sql).fetchall()) == got
 
 
