@@ -133,24 +133,19 @@ def _list_array(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _sets_op(batches: Iterator[pa.RecordBatch], least_body: int) -> Iterator[pa.RecordBatch]:
+    """Token sets and their sketches, from positions apart from those the join uses."""
     for b in batches:
         keep, flat, lengths = token_sets(b.column("body").to_pylist(), b.column("tags").to_pylist(), least_body)
         if not keep:
             continue
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep, pa.int32())), pa.array(set_ids(flat, starts, lengths)), _list_array(flat, lengths)], names=["id", "set_id", "tokens"])
-
-
-def _sketch_op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sketches of every set, from positions apart from those the join uses."""
-    for b in batches:
-        lists = b.column(1)
-        flat, lengths = lists.flatten().to_numpy().astype(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
-        if not len(lengths):
-            continue
-        sig = signatures(flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]), SKETCH + SHORT_BITS, seed=1)
+        sig = signatures(flat, starts, SKETCH + SHORT_BITS, seed=1)
         sk = sketch(sig)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths.astype(np.int32)), pa.array(sk[:, 0]), pa.array(sk[:, 1]), pa.array(short_sketch(sig[:, SKETCH:]).astype(np.int64)), lists], names=["set_id", "size", "low", "high", "short", "tokens"])
+        ids = b.column("id").take(pa.array(keep, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(set_ids(flat, starts, lengths)), pa.array(lengths.astype(np.int32)), pa.array(sk[:, 0]), pa.array(sk[:, 1]), pa.array(short_sketch(sig[:, SKETCH:]).astype(np.int64)), _list_array(flat, lengths)],
+            names=["id", "set_id", "size", "low", "high", "short", "tokens"],
+        )
 
 
 def _packed(ids: np.ndarray, size: np.ndarray, short: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -350,12 +345,13 @@ def near_duplicates(records: DataFrame, threshold: float = 0.7, least_body: int
     """
     scratch = Scratch(records.sparkSession, "neardup")
     rows = records.where(F.col("id").isNotNull()).select(canonical("id").alias("id"), "body", "tags")
-    sets = scratch.write(rows.mapInArrow(lambda it: _sets_op(it, least_body), "id string, set_id bigint, tokens array<bigint>"), "sets")
+    sets = scratch.write(rows.mapInArrow(lambda it: _sets_op(it, least_body), "id string, set_id bigint, size int, low bigint, high bigint, short bigint, tokens array<bigint>"), "sets")
     members = scratch.write(sets.select("id", "set_id"), "members")
-    once = sets.select("set_id", "tokens").dropDuplicates(["set_id"])
-    unique = scratch.write_bucketed(once.mapInArrow(_sketch_op, "set_id bigint, size int, low bigint, high bigint, short bigint, tokens array<bigint>").repartition("set_id"), "unique", "set_id")
+    unique = scratch.write_bucketed(sets.drop("id").dropDuplicates(["set_id"]), "unique", "set_id", sets.count())
     scratch.drop("sets")
-    return members, near_duplicate_sets(unique, unique.count(), scratch, threshold, segments, width, block, **parameters)
+    links = near_duplicate_sets(unique, unique.count(), scratch, threshold, segments, width, block, **parameters)
+    scratch.drop("unique", "close")
+    return members, links
 
 
 def _sized_classes(scratch: Scratch, classes: DataFrame) -> DataFrame:
