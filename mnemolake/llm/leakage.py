@@ -37,7 +37,7 @@ FOLLOW_BLOCK = 2_000
 MASK_CELLS = 32_000_000
 """Cells of the place masks that a task holds; beyond, subsequences are counted cell by cell."""
 FAN_IN = 64
-"""Sums that one task adds up, and at most so many reach the driver."""
+"""Sums that one task adds up."""
 
 
 @dataclass(frozen=True)
@@ -159,8 +159,8 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, passes: int =
     """Leading right singular vectors of the passages' TF-IDF matrix: randomised subspace iteration.
 
     Each pass multiplies a terms-by-rank block by the Gram matrix, one sum a task. The tasks' sums are added
-    up in a tree of FAN_IN sums a node, as high as the number of tasks needs; only blocks whose size the
-    items bound, FAN_IN of them at most, come to the driver.
+    up in a tree of FAN_IN sums a node, as high as the number of tasks needs; only its top, whose size the
+    items bound, comes to the driver.
     """
     rank = min(rank, len(idf))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), rank)))[0]
@@ -169,11 +169,11 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, passes: int =
     for _ in range(passes):
         sums = chosen.mapInArrow(lambda it, q=basis: _gram_op(it, q, idf), "part bigint, blob binary")
         left = tasks
-        while left > FAN_IN:
+        while left > 1:
             sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("node")).applyInPandas(_sum_blobs, "part bigint, blob binary")
             left = -(-left // FAN_IN)
         gram = np.zeros((len(idf), rank))
-        for r in sums.toLocalIterator():
+        for r in sums.collect():  # one row
             gram += np.frombuffer(r.blob, np.float64).reshape(gram.shape)
         small, last = basis.T @ gram, basis
         basis = np.linalg.qr(gram)[0]
