@@ -41,7 +41,7 @@ def pair_counts(baskets: DataFrame, items: str, chunk: int = CHUNK) -> tuple[Dat
     large = merged.where(F.size(items) > chunk).select("n", items, F.ceil(F.size(items) / chunk).cast("int").alias("chunks"))
     halves = large.select("n", items, "chunks", F.explode(F.expr("sequence(0, chunks - 1)")).alias("i")).select("n", items, "i", F.explode(F.expr("sequence(i, chunks - 1)")).alias("j"))
     part = lambda k: F.slice(items, F.col(k) * chunk + 1, F.lit(chunk))
-    blocks = halves.select("n", part("i").alias("left"), part("j").alias("right"), (F.col("i") == F.col("j")).alias("same")).repartition(F.rand(7))
+    blocks = halves.select("n", part("i").alias("left"), part("j").alias("right"), (F.col("i") == F.col("j")).alias("same")).repartition(F.xxhash64("left", "right"))
     crossed = blocks.select("n", F.explode(F.when(F.col("same"), _pairs_of("left")).otherwise(_pairs_across("left", "right"))).alias("p"))
     pairs = ordinary.unionByName(crossed).groupBy(F.col("p.a").alias("tag_a"), F.col("p.b").alias("tag_b")).agg(F.sum("n").alias("n_ab"))
     singles = merged.select("n", F.explode(items).alias("tag")).groupBy("tag").agg(F.sum("n").alias("n"))
